@@ -11,6 +11,18 @@ from meshwork.llm.text import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwork.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwork.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwork.llm.simhash import near_duplicates
 
