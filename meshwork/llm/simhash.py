@@ -1,13 +1,18 @@
 """SimHash near-duplicates: Golay-code keys of fingerprint segments, joined and verified.
 
-A 64-bit fingerprint is cut into A (23 bits), B (23) and C (18). Two fingerprints at most 4 bits apart
-fall under one of five cases, and each case has a key on which both agree:
-
-* A and B differ by at most 2 bits each: (Golay key of A, Golay key of B);
-* A differs by 3 or 4, so B and C differ by at most 1 together: (B, Golay key of C) or (Golay key of B, C);
-* B differs by 3 or 4: (A, Golay key of C) or (Golay key of A, C).
-
-A fingerprint has about 50 keys of 24 to 35 bits. Inside a key nothing is paired with everything:
+A 64-bit fingerprint is cut into A (23 bits), B (23) and C (18); A1, A2, B1, B2, C1, C2 are their halves and
+g() is a Golay key, which two segments at most 2 bits apart share. Let a, b, c be the differing bits of two
+fingerprints in A, B, C, at most 4 together. Each case has a key on which both agree:
+
+* a, b <= 2 and c <= 1: one half of C is equal: (gA, gB, C1) or (gA, gB, C2);
+* c >= 2, hence a + b <= 2: (A, gB) if a = 0, (gA, B) if b = 0, and (Ai, Bj, gC) for some i, j if a = b = 1;
+* a >= 3, hence b + c <= 1: (B, gC) or (gB, C);
+* b >= 3, hence a + c <= 1: (A, gC) or (gA, C).
+
+A fingerprint has about 110 keys of 30 to 35 bits, so that unrelated ones seldom meet: the rows that share a
+key with another fingerprint follow the near copies, not the square of the input. Keys that hold one
+fingerprint are dropped by a partial aggregate before anything is joined.
+Inside a key nothing is paired with everything:
 members are first linked to the key's smallest fingerprint, which joins a group of near copies in a
 linear number of rows; only then are members of one key whose components still differ compared.
 No bucket is capped and no link between components is lost.
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.llm import golay
@@ -75,47 +81,62 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     def add(case: int, key: np.ndarray, use: np.ndarray) -> None:
         rows = np.broadcast_to(np.arange(len(fp)).reshape(-1, *[1] * (use.ndim - 1)), use.shape)[use]
-        parts.append((np.broadcast_to(key, use.shape)[use] | case << 60, rows))
-
-    add(1, ka[:, :, None] << 12 | kb[:, None, :], ua[:, :, None] & ub[:, None, :])
-    add(2, b[:, None] << 12 | kc, uc)
-    add(3, kb << 18 | c[:, None], ub)
-    add(4, a[:, None] << 12 | kc, uc)
-    add(5, ka << 18 | c[:, None], ua)
+        parts.append((np.broadcast_to(key, use.shape)[use] | case << 48, rows))
+
+    pair, both = ka[:, :, None] << 12 | kb[:, None, :], ua[:, :, None] & ub[:, None, :]
+    add(1, pair << 9 | (c & 0x1FF)[:, None, None], both)
+    add(2, pair << 9 | (c >> 9)[:, None, None], both)
+    add(3, a[:, None] << 12 | kb, ub)
+    add(4, ka << 23 | b[:, None], ua)
+    halves = ((a & 0xFFF, b & 0xFFF), (a & 0xFFF, b >> 12), (a >> 12, b & 0xFFF), (a >> 12, b >> 12))
+    for case, (x, y) in enumerate(halves, 5):
+        add(case, (x << 12 | y)[:, None] << 12 | kc, uc)
+    add(9, b[:, None] << 12 | kc, uc)
+    add(10, kb << 18 | c[:, None], ub)
+    add(11, a[:, None] << 12 | kc, uc)
+    add(12, ka << 18 | c[:, None], ua)
     return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, *columns of nodes), nodes having fp first."""
-    schema = ", ".join(["key long", *(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)])
+    """(key, fp) for nodes (fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                key, row = key_rows(b.column(0).to_numpy(zero_copy_only=False))
-                taken = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *taken.columns], ["key", *b.schema.names])
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(fps), 1000):
+                part = fps[at : at + 1000]
+                key, row = key_rows(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
-    return nodes.mapInArrow(run, schema)
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, fp) of the keys that two or more fingerprints have."""
+    rows = _keys(nodes)
+    several = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key", "left_semi")
 
 
 def _apart(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _hub_links(nodes: DataFrame, distance: int) -> DataFrame:
-    """Links of members to the smallest fingerprint of their key, among nodes (fp, comp) of several components."""
-    rows = _keys(nodes)
-    hub = rows.groupBy("key").agg(F.min(F.struct("fp", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-    return rows.join(hub, "key").where((F.col("comp") != F.col("hub_comp")) & (_apart("fp", "hub") <= distance)).select(F.col("comp").alias("src"), F.col("hub_comp").alias("dst")).distinct()
+def _torn(rows: DataFrame) -> DataFrame:
+    """Keys whose members are still in several components, and the smallest member of each."""
+    return rows.groupBy("key").agg(F.min(F.struct("fp", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp"))
 
 
-def _cross_links(nodes: DataFrame, distance: int) -> DataFrame:
-    """All links that are left between components, compared inside the keys that hold more than one component."""
-    rows = _keys(nodes)
-    torn = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = cut(rows.join(torn, "key", "left_semi"))
+def _hub_links(rows: DataFrame, distance: int) -> DataFrame:
+    """Links of members (key, fp, comp) to the smallest fingerprint of their key."""
+    near = rows.join(_torn(rows), "key").where((F.col("comp") != F.col("hub_comp")) & (_apart("fp", "hub") <= distance))
+    return near.select(F.col("comp").alias("src"), F.col("hub_comp").alias("dst")).distinct()
+
+
+def _cross_links(rows: DataFrame, distance: int) -> DataFrame:
+    """All links that are left between components: compared inside the keys that hold several."""
+    rows = cut(rows.join(_torn(rows).select("key"), "key", "left_semi"))
     a, b = rows.select("key", "fp", "comp"), rows.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
     return a.join(b, "key").where((F.col("comp") < F.col("comp2")) & (_apart("fp", "fp2") <= distance)).select(F.col("comp").alias("src"), F.col("comp2").alias("dst")).distinct()
 
@@ -129,10 +150,11 @@ def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def components(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, comp) for the distinct fingerprints of (doc_id, fp): comp names the component, itself a fingerprint."""
     if not 0 <= distance <= 4:
-        raise ValueError("the five key cases cover distances up to 4")
+        raise ValueError("the key cases cover distances up to 4")
     nodes = cut(fps.select("fp", F.col("fp").alias("comp")).distinct())
+    shared = cut(shared_keys(nodes))
     for links in (_hub_links, _cross_links):
-        found = cut(links(nodes, distance))
+        found = cut(links(shared.join(nodes, "fp"), distance))
         if not found.isEmpty():
             nodes = _merge(nodes, found)
     return nodes
@@ -147,3 +169,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = lowest.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = nodes.join(roots, "comp").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; of rows that repeat that id, one.
+
+    Rows without a doc_id can't be named by a component: they all stay.
+    """
+    near = near_duplicates(docs.where("doc_id is not null"), distance)
+    stay = near.select(F.col("component_id").alias("__mw_id")).distinct()
+    left = docs.join(stay, F.col("doc_id").cast("long") == F.col("__mw_id"), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = left.withColumn("__mw_nth", first).where("__mw_nth = 1").drop("__mw_nth")
+    return left.select(*docs.columns).union(docs.where("doc_id is null"))
