@@ -108,6 +108,12 @@ def verdict(failed: Column, version: int = CURRENT) -> Column:
     return failed.bitwiseAND(F.lit(mask_of(POLICIES[version])).cast("long")) == 0
 
 
+def kept_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """docs without the documents that a policy rejects; no shuffle."""
+    rows = measured(docs, tuple(docs.columns), "__mw_m_")
+    return rows.where(verdict(failures("__mw_m_"), version)).select(*docs.columns)
+
+
 def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     """(rule, n_failed, n_alone): documents that fail a rule of a policy, and that it alone rejects.
 
