@@ -24,9 +24,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.text import slices
+
 MARK = "▁"
-#: Chunks that a worker keeps between batches, and the UTF-8 bytes of text that it takes at once.
-KEEP, SLICE = 200_000, 4 << 20
+#: Chunks that a worker keeps between batches.
+KEEP = 200_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -104,16 +106,6 @@ def encode_texts(seg: Segmenter, texts: pa.Array) -> Iterator[tuple[str, str, in
         at = end
 
 
-def _slices(column: pa.Array) -> Iterator[pa.Array]:
-    """Parts of a column of at most SLICE bytes, or one text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
-        yield column.slice(at, end - at)
-        at = end
-
-
 def encode(docs: DataFrame, model_path: str, digests: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens and either digests of ids and decoded text, or both themselves."""
     with open(model_path, "rb") as f:
@@ -125,7 +117,7 @@ def encode(docs: DataFrame, model_path: str, digests: bool = True) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             at = 0
-            for part in _slices(b.column(1)):
+            for part in slices(b.column(1)):
                 n, left, right = [], [], []
                 for ids, text, size in encode_texts(seg, part):
                     n.append(size)

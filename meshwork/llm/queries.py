@@ -20,6 +20,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(rows.union(extra)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meshwork.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meshwork.llm.mixing import mix
 
