@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, RATE, PAD, SLICE = 1024, 8000, 64, 4 << 20
+BLOCK, RATE, PAD = 1024, 8000, 64
+#: Bytes that are encoded at once, and frames that are decoded at once.
+SLICE, AT_ONCE = 1 << 20, 3000
 ORDERS = 5
 LPC_BITS = 12
 
@@ -98,18 +100,14 @@ def _lpc(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int)
     return coef, res
 
 
-def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0) -> list[bytes]:
-    """A FLAC stream for each payload of one byte or more."""
-    data = np.frombuffer(b"".join(payloads), np.uint8)
+def _frames(data: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, block: int, lpc_order: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(frames of all pieces, bytes of each frame, frames of each piece); firsts are the pieces' first frame numbers."""
     x = data.astype(np.int32) - 128
-    lengths = np.array([len(p) for p in payloads], np.int64)
-    if (lengths == 0).any():
-        raise ValueError("a payload has no bytes")
     per = -(-lengths // block)
-    stream = np.repeat(np.arange(len(payloads)), per)
-    number = np.arange(len(stream)) - np.repeat(np.cumsum(per) - per, per)
-    starts = np.repeat(np.cumsum(lengths) - lengths, per) + number * block
-    sizes = np.minimum(block, np.repeat(lengths, per) - number * block)
+    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    number = nth + np.repeat(firsts, per)
+    starts = np.repeat(np.cumsum(lengths) - lengths, per) + nth * block
+    sizes = np.minimum(block, np.repeat(lengths, per) - nth * block)
     frame = np.repeat(np.arange(len(starts)), sizes)
     inside = np.arange(len(x)) - starts[frame]
 
@@ -191,19 +189,38 @@ def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0) -> lis
         packed[a : a + len(h)] = np.frombuffer(h, np.uint8)
     crc = crc16(packed, at, at + frame_bytes - 2)
     packed[at + frame_bytes - 2], packed[at + frame_bytes - 1] = crc >> 8, crc & 0xFF
-    flat = packed.tobytes()
-
-    made, f = [], 0
-    for p, n, total in zip(payloads, per.tolist(), lengths.tolist(), strict=True):
-        span = slice(f, f + n)
-        first = int(at[f])
-        info = struct.pack(">HH", max(block, 16), max(block, 16)) + int(frame_bytes[span].min()).to_bytes(3, "big") + int(frame_bytes[span].max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | total).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
-        points = np.empty(n, [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
-        points["sample"], points["offset"], points["size"] = number[span] * block, at[span] - first, sizes[span]
-        end = int(at[f + n - 1] + frame_bytes[f + n - 1])
-        made.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + (18 * n).to_bytes(3, "big") + points.tobytes() + flat[first:end])
-        f += n
+    return packed.tobytes(), frame_bytes, per
+
+
+def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0) -> list[bytes]:
+    """A FLAC stream for each payload of one byte or more; long payloads are worked on piece by piece."""
+    if not all(payloads):
+        raise ValueError("a payload has no bytes")
+    step = max(SLICE // block, 1) * block
+    pieces = [(i, at) for i, p in enumerate(payloads) for at in range(0, len(p), step)]
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[np.ndarray]] = [[] for _ in payloads]
+    cuts = [payloads[i][at : at + step] for i, at in pieces]
+    for part in _parts([len(c) for c in cuts]):
+        own = cuts[part]
+        flat, each, per = _frames(np.frombuffer(b"".join(own), np.uint8), np.array([len(c) for c in own], np.int64), np.array([at // block for _, at in pieces[part]], np.int64), block, lpc_order)
+        begin = 0
+        for (i, _), mine in zip(pieces[part], np.split(each, np.cumsum(per)[:-1]), strict=True):
+            end = begin + int(mine.sum())
+            frames[i].append(flat[begin:end])
+            sizes[i].append(mine)
+            begin = end
+    made = []
+    for p, own, each in zip(payloads, frames, sizes, strict=True):
+        size = np.concatenate(each)
+        info = struct.pack(">HH", max(block, 16), max(block, 16)) + int(size.min()).to_bytes(3, "big") + int(size.max()).to_bytes(3, "big")
+        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
+        points = np.empty(len(size), [("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
+        points["sample"], points["offset"] = np.arange(len(size)) * block, np.cumsum(size) - size
+        points["size"] = np.minimum(block, len(p) - np.arange(len(size)) * block)
+        # a metadata block holds 2^24 - 1 bytes: longer tables stay out, and the stream is read frame by frame
+        table = points.tobytes() if 18 * len(size) < 1 << 24 else b""
+        made.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(own))
     return made
 
 
@@ -359,7 +376,7 @@ def decode(medias: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     ready = [i for i, s in enumerate(streams) if s.full]
     if ready:
         at = np.concatenate([base[i] + streams[i].frames + streams[i].seek["offset"].astype(np.int64) for i in ready])
-        found, _ = _decode_frames(data, at)
+        found = [x for k in range(0, len(at), AT_ONCE) for x in _decode_frames(data, at[k : k + AT_ONCE])[0]]
         f = 0
         for i in ready:
             offset = 0
@@ -396,11 +413,11 @@ def features(payload: bytes) -> str:
     return f"n={len(x)};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero(above[1:] != above[:-1])};peak={np.abs(x).max()}"
 
 
-def _parts(sizes: list[int]) -> Iterator[slice]:
+def _parts(sizes: list[int], most: int = SLICE) -> Iterator[slice]:
     at = 0
     while at < len(sizes):
         end, total = at, 0
-        while end < len(sizes) and (end == at or total + sizes[end] <= SLICE):
+        while end < len(sizes) and (end == at or total + sizes[end] <= most):
             total += sizes[end]
             end += 1
         yield slice(at, end)
@@ -417,7 +434,7 @@ def store(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(1).to_pylist()
-            for part in _parts([len(r) for r in raw]):
+            for part in _parts([len(r) for r in raw], 2 * SLICE):
                 media = encode([padded(r) for r in raw[part]])
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array([len(r) for r in raw[part]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -430,7 +447,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, stored = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for part in _parts([len(m) for m in stored]):
+            for part in _parts([len(m) for m in stored], 3 * SLICE):
                 rows = [(i, n, o, x.astype(np.int8).tobytes()) for i, found in zip(ids[part], decode(stored[part]), strict=True) for n, (o, x) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "block", "sample_offset", "pcm"])
 
@@ -445,7 +462,7 @@ def read_back(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stored = b.column(2).to_pylist()
-            for part in _parts([len(m) for m in stored]):
+            for part in _parts([len(m) for m in stored], 3 * SLICE):
                 got = [payload_of(x) for x in decode(stored[part])]
                 cols = [
                     pa.array([len(p) for p in got], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in got]),
