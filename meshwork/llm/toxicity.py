@@ -204,7 +204,7 @@ def windows(counts: np.ndarray, pad: int, words: np.ndarray) -> tuple[np.ndarray
     first = np.cumsum(counts) - counts
     inside = nth * STRIDE + np.arange(WINDOW)[:, None]
     at = np.minimum(first[doc] + inside, max(len(words) - 1, 0))
-    index = np.where(inside < counts[doc], words[at] if len(words) else pad, pad)
+    index = np.where(inside < counts[doc], words[at] if len(words) else pad, pad).astype(np.int32)
     return index, doc
 
 
