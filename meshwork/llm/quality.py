@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.text import word_array
+from meshwork.llm.text import settled, word_array
 
 #: Rows of each sample; rounds; rows of each class that a view passes on in a round; least certainty for that.
 SAMPLE, ROUNDS, PASS_ON, SURE = 8000, 4, 200, 0.95
@@ -199,4 +199,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM)
     model = fit(docs, labels)
     if not isinstance(model, Model):
         return docs
-    return score(docs, model, docs.columns).where(F.col("__mw_score") >= keep_from).select(*docs.columns)
+    scored = score(docs, model, docs.columns).withColumn("__mw_score", settled(F.col("__mw_score")))
+    return scored.where(F.col("__mw_score") >= keep_from).select(*docs.columns)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.text import word_array
+from meshwork.llm.text import settled, word_array
 
 #: Name and failing condition of each rule over the measurements; the position is the rule's bit.
 RULES: tuple[tuple[str, str], ...] = (
@@ -111,7 +111,8 @@ def verdict(failed: Column, version: int = CURRENT) -> Column:
 def kept_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     """docs without the documents that a policy rejects; no shuffle."""
     rows = measured(docs, tuple(docs.columns), "__mw_m_")
-    return rows.where(verdict(failures("__mw_m_"), version)).select(*docs.columns)
+    rows = rows.withColumn("__mw_failed", settled(failures("__mw_m_")))
+    return rows.where(verdict(F.col("__mw_failed"), version)).select(*docs.columns)
 
 
 def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:

@@ -24,6 +24,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def settled(x: Column) -> Column:
+    """x, computed where it is written: a filter above can't be pushed below it, which would copy all that x is made of
+    into the filter and compute shared parts anew for each mention."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
