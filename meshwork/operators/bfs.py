@@ -126,16 +126,28 @@ def connected_components(edges: DataFrame, method: str = "auto", doubling: bool
 CODES = {-1: "a vertex has no way up to the root", -10: "an edge leaves the vertex range at src", -11: "an edge leaves the vertex range at dst", -12: "dst of an edge is not in the tree", -13: "src of an edge is not in the tree", -14: "levels of an edge differ by more than one", -15: "a tree edge is no edge", -16: "a second root", -999: "the root is not its own parent"}
 
 
-def verify_bfs_tree(tree: DataFrame, edges: DataFrame, root: int, max_vertex: int | None = None, max_levels: int = 10_000) -> DataFrame:
+def tree_levels(tree: DataFrame, root: int) -> DataFrame:
+    """(vertex, parent, level) of tree (vertex, parent): hops up to the root by doubling, null where there is no way.
+
+    Each round a vertex jumps as far again as it has come: log2(depth) rounds. What still moves after log2(vertices)
+    rounds runs in a cycle.
+    """
+    now = cut(tree.select("vertex", "parent", F.when((F.col("vertex") == root) | (F.col("vertex") != F.col("parent")), F.col("parent")).alias("at"), F.when(F.col("vertex") == root, 0).otherwise(1).cast("long").alias("level")))
+    for _ in range(now.count().bit_length() + 1):
+        up = now.select(F.col("vertex").alias("u"), F.col("at").alias("next"), F.col("level").alias("more"))
+        now = cut(now.join(up, F.col("at") == F.col("u"), "left").select("vertex", "parent", F.when(F.col("at") == root, F.col("at")).otherwise(F.col("next")).alias("at"), (F.col("level") + F.when(F.col("at") == root, 0).otherwise(F.col("more"))).alias("level")))
+        if now.where(F.col("at") != root).isEmpty():
+            break
+    return now.select("vertex", "parent", F.when(F.col("at") == root, F.col("level")).alias("level"))
+
+
+def verify_bfs_tree(tree: DataFrame, edges: DataFrame, root: int, max_vertex: int | None = None) -> DataFrame:
     """(code, n): the violations of each kind in tree (vertex, parent), or one row (0, traversed edges)."""
     tree = cut(tree.select("vertex", "parent"))
     spark = tree.sparkSession
     if tree.where((F.col("vertex") == root) & (F.col("parent") == root)).isEmpty():
         return spark.sql("select cast(-999 as long) code, cast(1 as long) n")
-    # levels by walking the tree's own edges down from the root
-    down = tree.where("vertex <> parent").select(F.col("parent").alias("src"), F.col("vertex").alias("dst"))
-    levels = bfs_tree(down, root, max_levels=max_levels).select(F.col("vertex").alias("lv"), "level")
-    t = cut(tree.join(levels, F.col("vertex") == F.col("lv"), "left").select("vertex", "parent", "level"))
+    t = cut(tree_levels(tree, root))
     top = max_vertex if max_vertex is not None else (1 << 63) - 1
     e = edges.where("src >= 0 and dst >= 0").select("src", "dst")
     a = t.select(F.col("vertex").alias("va"), F.col("parent").alias("pa"), F.col("level").alias("la"))

@@ -27,7 +27,7 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = symmetrise(edges)
     low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
-    return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+    return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
