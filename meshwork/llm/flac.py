@@ -63,13 +63,9 @@ def _coded_number(n: int) -> bytes:
     """A frame number in the extended UTF-8 that FLAC uses."""
     if n < 0x80:
         return bytes([n])
-    tail = []
-    lead = 0x3F
-    while n > lead:
-        tail.append(0x80 | n & 0x3F)
-        n >>= 6
-        lead >>= 1
-    return bytes([(0xFE ^ (lead << 1 | 1)) & 0xFF | n, *reversed(tail)])
+    more = next(k for k in range(1, 7) if n < 1 << (6 + 5 * k))
+    tail = [0x80 | n >> 6 * k & 0x3F for k in reversed(range(more))]
+    return bytes([0xFF << (7 - more) & 0xFF | n >> 6 * more, *tail])
 
 
 @cache
