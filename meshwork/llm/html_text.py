@@ -1,7 +1,7 @@
 """Main text of HTML by composite text density (Sun, Song and Liao 2011).
 
 A page becomes a tree, closing what HTML closes implicitly. Elements that are never article text (scripts,
-menus, forms, notices, adverts, comments, ...) leave it by tag, role or class, unless they hold an article.
+menus, forms, notices, adverts, comments, ...) leave it by tag, role or class, unless they hold all articles of the page.
 For every other node: C characters, T tags, LC characters in links, LT link tags, all of its subtree. Its density is
 
     C / T * log(C * T / (LC * LT)) / log(1 + log(C * LC / (C - LC) + C * LCb / Cb + e))
@@ -134,14 +134,15 @@ class Page:
     def gone(self) -> list[bool]:
         """Whether a node is in a part that is never article text."""
         n = len(self.tag)
-        roomy, inside = [False] * n, [False] * n
+        holds, inside = [int(t in ("article", "main")) for t in self.tag], [False] * n
         for i in range(n - 1, 0, -1):
-            roomy[self.parent[i]] |= roomy[i] or self.tag[i] in ("article", "main")
+            holds[self.parent[i]] += holds[i]
         out = [False] * n
         for i in range(1, n):
             up = self.parent[i]
             inside[i] = inside[up] or self.tag[up] in ("article", "main")
-            out[i] = out[up] or (self._boiler(i, inside[i]) and not roomy[i])
+            # what holds every article of the page is a frame around it, whatever its name says
+            out[i] = out[up] or (self._boiler(i, inside[i]) and not (holds[i] and holds[i] == holds[0]))
         return out
 
     def _boiler(self, i: int, inside: bool) -> bool:
