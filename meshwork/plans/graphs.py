@@ -33,18 +33,21 @@ EDGES = {
 }
 EDGES["conversation"] = Source(f"SELECT src, dst FROM ({EDGES['conversation'].sql}) q WHERE dst IS NOT NULL")
 EDGES["duplicate_documents"] = Source(f"SELECT src, dst FROM ({EDGES['duplicate_documents'].sql}) q WHERE src <> dst")
-#: Matrices (row, col, val): quantity by part and supplier; orders by customer and month; nations by region.
+#: Matrices (row, col, val): quantity and large deliveries by part and supplier; deliveries by supplier and month, and by
+#: the customer's and the supplier's nation.
 MATRICES = {
     "a": Source("SELECT l_partkey AS row, l_suppkey AS col, cast(sum(cast(l_quantity AS bigint)) AS bigint) AS val FROM lineitem GROUP BY l_partkey, l_suppkey"),
     "b": Source("SELECT l_partkey AS row, l_suppkey AS col, cast(count(*) AS bigint) AS val FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey, l_suppkey"),
-    "s": Source("SELECT l_suppkey AS row, l_partkey % 50 AS col, cast(count(*) AS bigint) AS val FROM lineitem WHERE l_quantity >= 25 GROUP BY l_suppkey, l_partkey % 50"),
-    "q": Source("SELECT l_partkey % 60 AS row, l_suppkey % 60 AS col, cast(count(*) AS bigint) AS val FROM lineitem WHERE l_quantity >= 30 GROUP BY l_partkey % 60, l_suppkey % 60"),
+    "s": Source("SELECT l_suppkey AS row, cast(month(l_shipdate) AS bigint) AS col, cast(count(*) AS bigint) AS val FROM lineitem WHERE l_quantity >= 25 GROUP BY l_suppkey, month(l_shipdate)"),
+    "q": Source(
+        "SELECT cast(c_nationkey AS bigint) AS row, cast(s_nationkey AS bigint) AS col, cast(count(*) AS bigint) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 GROUP BY c_nationkey, s_nationkey"
+    ),
 }
-#: Vectors (idx, val), sparse but for dense ones: nation number by supplier, orders by customer, balance by customer.
+#: Vectors (idx, val): nation number of suppliers in credit; open and finished orders by customer; balance by customer.
 VECTORS = {
-    "x": Source("SELECT s_suppkey AS idx, cast(s_nationkey AS bigint) + 1 AS val FROM supplier WHERE s_suppkey % 2 = 0"),
-    "orders": Source("SELECT o_custkey AS idx, cast(count(*) AS bigint) AS val FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey"),
-    "late": Source("SELECT o_custkey AS idx, cast(count(*) AS bigint) AS val FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 <> 1 GROUP BY o_custkey"),
+    "x": Source("SELECT s_suppkey AS idx, cast(s_nationkey AS bigint) + 1 AS val FROM supplier WHERE s_acctbal > 2000"),
+    "orders": Source("SELECT o_custkey AS idx, cast(count(*) AS bigint) AS val FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey"),
+    "late": Source("SELECT o_custkey AS idx, cast(count(*) AS bigint) AS val FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
     "balance": Source("SELECT c_custkey AS idx, cast(floor(c_acctbal) AS bigint) AS val FROM customer WHERE c_custkey IS NOT NULL"),
 }
-

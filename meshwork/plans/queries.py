@@ -173,6 +173,11 @@ q("edge_distribution", lambda g: edges.edge_distribution(g).select((F.col("most"
 q("exclusive_scan", V.exclusive_scan, v("balance"), sql="SELECT idx, cast(coalesce(sum(val) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS val FROM {balance}")
 
 
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two results of one row each as one row."""
+    return a.withColumn("k", F.lit(0)).join(b.withColumn("k", F.lit(0)), "k").drop("k")
+
+
 def _by_src():
     from pyspark.sql import Window as W
 
@@ -180,8 +185,9 @@ def _by_src():
 
 
 # vectors: PRJ-7, 8, 12, 14..17, 19, 20; JN-3..6, 16, 17; AG-10..13; WN-5; ST-6..8; SO-1..5; SRC-12
-def _n(s: SparkSession, d: str) -> int:
-    return s.read.parquet(f"{d}/customer.parquet").count() + 1
+def _n(s: SparkSession, d: str, table: str = "customer") -> int:
+    """Length of a vector over a table's keys, which count from 1."""
+    return s.read.parquet(f"{d}/{table}.parquet").count() + 1
 
 
 _DENSE = "(SELECT r.i AS idx, coalesce(b.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM customer))) AS i) r LEFT JOIN {balance} b ON b.idx = r.i)"
@@ -199,7 +205,7 @@ q("vec_select", lambda x, y: V.select(x, y, lambda c: c > 0), v("orders"), dense
 q("vec_select_apply", lambda x, y: V.select_apply(x, y, lambda c: c > 0, scalars.plus), v("orders"), dense, sql="SELECT o.idx, o.val + b.val AS val FROM {orders} o JOIN {balance} b USING (idx) WHERE b.val > 0")
 q("vec_filter_by_index", lambda x, y: V.filter_by_val(x, y, lambda c: c % 100, True), v("balance"), v("orders"), sql="SELECT idx, val FROM {balance} WHERE val % 100 NOT IN (SELECT idx FROM {orders})")
 q("vec_filter_by_value", lambda x, y: V.filter_by_val(x, y, lambda c: c % 100, False), v("balance"), v("orders"), sql="SELECT idx, val FROM {balance} WHERE val % 100 NOT IN (SELECT val FROM {orders})")
-query("vec_concatenate", lambda s, d: V.concatenate([(VECTORS["orders"](s, d), 100_000), (VECTORS["late"](s, d), 100_000)]), _sql("SELECT idx, val FROM {orders} UNION ALL SELECT idx + 100000, val FROM {late}"))
+query("vec_concatenate", lambda s, d: V.concatenate([(VECTORS["orders"](s, d), _n(s, d)), (VECTORS["late"](s, d), _n(s, d))]), _sql("SELECT idx, val FROM {orders} UNION ALL SELECT idx + (SELECT count(*) + 1 FROM customer), val FROM {late}"))
 q("ewise_mult", V.ewise_mult, v("orders"), dense, sql="SELECT o.idx, o.val * b.val AS val FROM {orders} o JOIN {balance} b USING (idx) WHERE b.val <> 0")
 q("ewise_exclude", lambda x, y: V.ewise_mult(x, V.apply(y, lambda c: F.when(c > 0, c).otherwise(F.lit(0))), True), v("orders"), dense, sql="SELECT o.idx, o.val FROM {orders} o JOIN {balance} b USING (idx) WHERE b.val <= 0")
 q("ewise_inner", lambda x, y: V.ewise_apply(x, y, scalars.minus, lambda a, b: a >= b), v("orders"), v("late"), sql="SELECT idx, o.val - l.val AS val FROM {orders} o JOIN {late} l USING (idx) WHERE o.val >= l.val")
@@ -223,7 +229,7 @@ q("vec_subtract", lambda x, y: V.add(x, y, -1), v("orders"), v("late"), sql="SEL
 q("setminus", V.setminus, v("orders"), v("late"), sql="SELECT idx, val FROM {orders} WHERE idx NOT IN (SELECT idx FROM {late})")
 q("vec_equal", lambda x, y: V.equal(x, y), v("orders"), v("orders"), sql="SELECT true AS same")
 q("vec_unequal", lambda x, y: V.equal(x, y), v("orders"), v("late"), sql="SELECT false AS same")
-q("invert", lambda x: V.invert(x, 20), v("late"), sql="SELECT val AS idx, min(idx) AS val FROM {late} WHERE val >= 0 AND val < 20 GROUP BY val")
+q("invert", lambda x: V.invert(x, 1000), v("late"), sql="SELECT val AS idx, min(idx) AS val FROM {late} WHERE val >= 0 AND val < 1000 GROUP BY val")
 q("invert_general", lambda x: V.invert(x, None, lambda c, i: c % 7, lambda c, i: c + i), v("late"), sql="SELECT val % 7 AS idx, min(val + idx) AS val FROM {late} GROUP BY val % 7")
 q("vec_assign", V.assign, dense, v("orders"), sql=f"SELECT b.idx, coalesce(o.val, b.val) AS val FROM {_DENSE} b LEFT JOIN {{orders}} o USING (idx)")
 q("vec_scatter", lambda x, y: V.scatter(x, y, lambda c, i: c, lambda c, i: i), dense, v("orders"), sql=f"SELECT b.idx, coalesce(o.x, b.val) AS val FROM {_DENSE} b LEFT JOIN (SELECT val AS i, min(idx) AS x FROM {{orders}} GROUP BY val) o ON o.i = b.idx")
@@ -268,7 +274,7 @@ q("dim_apply", lambda a, x: M.dim_apply(a, "col", x, scalars.times), m("a"), v("
 q("dim_apply_normalise", lambda a: M.apply(M.dim_apply(a, "col", M.mat_reduce(a, "col", F.sum), lambda x, t: x / t), lambda x: F.round(x, 9)), m("a"), sql="SELECT row, a.col, round(a.val::double / t.val, 9) AS val FROM {a} a JOIN (SELECT col, sum(val)::double AS val FROM {a} GROUP BY col) t ON a.col = t.col")
 q("reduce_row", lambda a: M.mat_reduce(a, "row", F.sum), m("a"), sql="SELECT row AS idx, cast(sum(val) AS bigint) AS val FROM {a} GROUP BY row")
 q("reduce_col", lambda a: M.mat_reduce(a, "col", F.max, unary=lambda x: -x), m("a"), sql="SELECT col AS idx, max(-val) AS val FROM {a} GROUP BY col")
-q("reduce_dense", lambda a: M.mat_reduce(a, "col", F.sum, zero=0, n=200), m("b"), sql="SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range(200)) AS i) r LEFT JOIN (SELECT col, cast(sum(val) AS bigint) AS val FROM {b} GROUP BY col) t ON t.col = r.i")
+query("reduce_dense", lambda s, d: M.mat_reduce(MATRICES["b"](s, d), "col", F.sum, zero=0, n=_n(s, d, "supplier")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM supplier))) AS i) r LEFT JOIN (SELECT col, cast(sum(val) AS bigint) AS val FROM {b} GROUP BY col) t ON t.col = r.i"))
 q("masked_reduce", lambda a, x: M.mat_reduce(a, "col", F.sum, mask=x), m("a"), v("orders"), sql="SELECT col AS idx, cast(sum(val) AS bigint) AS val FROM {a} WHERE row IN (SELECT idx FROM {orders}) GROUP BY col")
 q("masked_reduce_exclude", lambda a, x: M.mat_reduce(a, "col", F.sum, mask=x, exclude=True), m("a"), v("orders"), sql="SELECT col AS idx, cast(sum(val) AS bigint) AS val FROM {a} WHERE row NOT IN (SELECT idx FROM {orders}) GROUP BY col")
 for _name, _sr, _agg in (
@@ -284,7 +290,7 @@ for _name, _sr, _agg in (
 ):
     q(f"spmspv_{_name}", lambda a, x, r=_sr: M.spmv(a, x, r), m("a"), v("x"), sql=f"SELECT a.row AS idx, {_agg} AS val FROM {{a}} a JOIN {{x}} x ON a.col = x.idx GROUP BY a.row")
 q("spmspv_random", lambda a, x: M.spmv(a, x, S.select_random(3)), m("a"), v("x"))
-q("spmv_dense", lambda a, x: M.spmv(a, V.densify(x, 200), n=300), m("a"), v("x"), sql="SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range(300)) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx WHERE a.col < 200 GROUP BY a.row) t ON t.row = r.i")
+query("spmv_dense", lambda s, d: M.spmv(MATRICES["a"](s, d), V.densify(VECTORS["x"](s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i"))
 _MM = "SELECT a.row, s.col, {agg} AS val FROM {{a}} a JOIN {{s}} s ON a.col = s.row GROUP BY a.row, s.col"
 q("spgemm", M.spgemm, m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
 q("spgemm_layers", lambda a, b: M.spgemm(a, b, layers=4), m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
@@ -311,14 +317,14 @@ def _independence(distance: int) -> Query:
         near = both if distance == 1 else both.unionAll(both.join(both.select(F.col("src").alias("m"), F.col("dst").alias("far")), F.col("dst") == F.col("m")).select("src", F.col("far").alias("dst"))).where("src <> dst").distinct()
         clash = near.join(at("a"), F.col("src") == F.col("a")).join(at("b"), F.col("dst") == F.col("b"))
         free = both.select(F.col("src").alias("v")).distinct().join(at("v"), "v", "left_anti").join(near.join(at("a"), F.col("src") == F.col("a")).select(F.col("dst").alias("v")), "v", "left_anti")
-        return clash.agg(F.count(F.lit(1)).alias("clashes")).crossJoin(free.agg(F.count(F.lit(1)).alias("free")))
+        return _beside(clash.agg(F.count(F.lit(1)).alias("clashes")), free.agg(F.count(F.lit(1)).alias("free")))
 
     return run
 
 
 for _d in (1, 2):
     q(f"mis_distance_{_d}_check", _independence(_d), e("order_part"), sql="SELECT 0::bigint AS clashes, 0::bigint AS free")
-q("mis_filtered", lambda g: independent.mis(g, 4, keep=F.col("src") % 3 == 0), e("order_part"))
+q("mis_filtered", lambda g: independent.mis(g, 4, keep=F.col("src") < F.col("dst")), e("order_part"))
 q("amg_aggregates", lambda g: independent.aggregates(g, 1).agg(F.count_distinct("vertex").alias("vertices")), e("order_part"), sql="SELECT count(*) AS vertices FROM (SELECT src FROM {order_part} UNION SELECT dst FROM {order_part})")
 
 
@@ -326,11 +332,11 @@ def _galerkin(g: DataFrame) -> DataFrame:
     both = cut(components.symmetrise(g))
     a, r = cut(M.from_edges(both)), cut(independent.restriction(g, 1))
     same = M.equal(independent.galerkin(a, r), independent.galerkin(a, r, True))
-    return same.crossJoin(independent.galerkin(a, r).agg(F.sum("val").alias("total")))
+    return _beside(same, independent.galerkin(a, r).agg(F.sum("val").alias("total")))
 
 
 q("amg_galerkin", _galerkin, e("order_part"), sql=f"SELECT true AS same, count(*) AS total FROM {_sym('order_part')}")
-q("betweenness", lambda g: (lambda b: centrality.betweenness(b, b.select(F.col("src").alias("vertex")).distinct().where("vertex % 7 = 0")).select("vertex", F.round("score", 6).alias("score")))(cut(components.symmetrise(g))), e("order_part"))
+q("betweenness", lambda g: (lambda b: centrality.betweenness(b, b.select(F.col("src").alias("vertex")).distinct()).select("vertex", F.round("score", 6).alias("score")))(cut(components.symmetrise(g))), e("order_part"))
 q("markov_clusters", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))), e("duplicate_documents"))
 q("markov_clusters_cover", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))).agg(F.count_distinct("vertex").alias("n")), e("duplicate_documents"), sql="SELECT count(*) AS n FROM (SELECT src FROM {duplicate_documents} UNION SELECT dst FROM {duplicate_documents})")
 _bip: Query = lambda s, d: EDGES["order_part"](s, d).select(F.col("src").alias("row"), F.col("dst").alias("col"))
@@ -340,7 +346,7 @@ def _matched(how: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
     def run(b: DataFrame) -> DataFrame:
         b = cut(b)
         mates = cut(how(b))
-        return matching.is_matching(mates, b).crossJoin(matching.is_maximal_matching(mates, b).withColumnRenamed("ok", "maximal"))
+        return _beside(matching.is_matching(mates, b), matching.is_maximal_matching(mates, b).withColumnRenamed("ok", "maximal"))
 
     return run
 
