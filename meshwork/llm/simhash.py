@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     nodes = components(fps, distance)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     lowest = nodes.join(least, "fp")
-    roots = lowest.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # kept apart from the join, so that the members of a large component may be split over tasks there
+    roots = cut(lowest.groupBy("comp").agg(F.min("least").alias("component_id")))
     of = nodes.join(roots, "comp").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
