@@ -26,13 +26,14 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = symmetrise(edges)
-    low = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low"))
+    # kept apart from the join: only a join of two plain shuffles lets a hub's neighbours be split over tasks
+    low = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low")))
     return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    low = down.groupBy("src").agg(F.min("dst").alias("low"))
+    low = cut(down.groupBy("src").agg(F.min("dst").alias("low")))
     hooked = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
     return hooked.union(low.select("src", F.col("low").alias("dst"))).distinct()
 
