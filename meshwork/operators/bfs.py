@@ -29,12 +29,13 @@ def bottom_up_step(edges: DataFrame, frontier: DataFrame, unvisited: DataFrame)
     return edges.join(todo, F.col("dst") == F.col("u"), "left_semi").join(at, F.col("src") == F.col("f")).groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
 
 
-def bfs_tree(edges: DataFrame, root: int, pick=F.min, single_child: bool = False, direction_optimising: bool = False, max_levels: int = 10_000) -> DataFrame:
+def bfs_tree(edges: DataFrame, root: int, pick=F.min, single_child: bool = False, direction_optimising: bool = False, symmetric: bool = False, max_levels: int = 10_000) -> DataFrame:
     """(vertex, parent, level) of what root reaches; the root is its own parent.
 
     pick: which parent wins (F.min; F.max; a seeded hash for random parents). single_child: each parent keeps its
     smallest new child only. direction_optimising: levels whose frontier has over 1/20 of all edges, growing, go bottom-up
-    until the frontier is below n^2 / (12 nnz).
+    until the frontier is below n^2 / (12 nnz). symmetric: the edges hold both directions, so that a neighbour of a level is
+    in it, before it or new, and only the last two levels are compared, not all that was visited.
     """
     spark = edges.sparkSession
     first = spark.range(1).select(F.lit(root).cast("long").alias("vertex"), F.lit(root).cast("long").alias("parent"), F.lit(0).cast("long").alias("level"))
@@ -44,7 +45,8 @@ def bfs_tree(edges: DataFrame, root: int, pick=F.min, single_child: bool = False
         nnz, n = edges.count(), vertices.count()
         bottom, before = False, 0
     for level in range(1, max_levels):
-        visited = reduce(DataFrame.unionAll, [x.select("vertex") for x in levels])
+        known = levels[-2:] if symmetric and not single_child and not direction_optimising else levels
+        visited = reduce(DataFrame.unionAll, [x.select("vertex") for x in known])
         frontier = levels[-1]
         if direction_optimising:
             fringe = frontier.count()
@@ -78,7 +80,7 @@ def filtered_bfs(edges: DataFrame, keep: Column, root: int) -> DataFrame:
 
 
 def bfs_peel(edges: DataFrame, n: int) -> tuple[list[int], DataFrame]:
-    """Up to n searches, each from the smallest vertex not visited: (vertices of each run, all visited (vertex))."""
+    """Up to n searches over symmetric edges, each from the smallest vertex not visited: (vertices of each run, all visited (vertex))."""
     left = cut(edges.select("src", "dst"))
     sizes: list[int] = []
     done: list[DataFrame] = []
@@ -86,7 +88,7 @@ def bfs_peel(edges: DataFrame, n: int) -> tuple[list[int], DataFrame]:
         root = left.agg(F.min("src")).first()[0]
         if root is None:
             break
-        tree = cut(bfs_tree(left, root).select("vertex"))
+        tree = cut(bfs_tree(left, root, symmetric=True).select("vertex"))
         sizes.append(tree.count())
         done.append(tree)
         left = cut(drop_visited(left, tree))
@@ -116,7 +118,7 @@ def connected_components(edges: DataFrame, method: str = "auto", doubling: bool
         root = left.agg(F.min("src")).first()[0]
         if root is None:
             break
-        tree = cut(bfs_tree(left, root).select("vertex"))
+        tree = cut(bfs_tree(left, root, symmetric=True).select("vertex"))
         parts.append(tree.select("vertex", F.lit(root).cast("long").alias("component")))
         left = cut(drop_visited(left, tree))
     return reduce(DataFrame.unionAll, [*parts, star_components(left)])

@@ -124,9 +124,9 @@ q("bfs_peel_first", _peel, e("order_part"), sql=_FIRST)
 q("bfs_peel_three", lambda g: _peel(g, 3), e("order_part"), sql=_cc("order_part") + "SELECT row_number() OVER (ORDER BY l) - 1 AS run, n FROM (SELECT l, count(*) AS n FROM cc GROUP BY l ORDER BY l LIMIT 3)")
 q("edges_left_after_bfs", _left, e("order_part"), sql=_cc("order_part") + f"SELECT s.src, s.dst FROM {_sym('order_part')} s JOIN cc ON s.src = cc.v WHERE cc.l <> (SELECT min(l) FROM cc)")
 _LV = _levels("order_part_dense", _MIN % ("order_part_dense", "order_part_dense"))
-for _name, _args in {"bfs_levels": {}, "bfs_levels_direction_optimising": {"direction_optimising": True}}.items():
+for _name, _args in {"bfs_levels": {"symmetric": True}, "bfs_levels_any_edges": {}, "bfs_levels_direction_optimising": {"direction_optimising": True}}.items():
     q(_name, lambda g, a=_args: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), **a).select("vertex", "level"), e("order_part_dense"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
-q("bfs_parents", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g)), e("order_part_dense"), sql=_LV + f"SELECT t.v AS vertex, coalesce(min(p.v), t.v) AS parent, t.l AS level FROM t LEFT JOIN {_sym('order_part_dense')} s ON s.dst = t.v LEFT JOIN t p ON p.v = s.src AND p.l = t.l - 1 GROUP BY t.v, t.l")
+q("bfs_parents", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), symmetric=True), e("order_part_dense"), sql=_LV + f"SELECT t.v AS vertex, coalesce(min(p.v), t.v) AS parent, t.l AS level FROM t LEFT JOIN {_sym('order_part_dense')} s ON s.dst = t.v LEFT JOIN t p ON p.v = s.src AND p.l = t.l - 1 GROUP BY t.v, t.l")
 q("bfs_random_parent_levels", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), pick=bfs.random_parent(5)).select("vertex", "level"), e("order_part_dense"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
 q("bfs_single_child", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), single_child=True), e("order_part_dense"))
 q("expand_frontier", lambda g, f: bfs.expand_frontier(g, f.select((2 * F.col("idx")).alias("vertex"))), e("order_part_dense"), v("orders"), sql="SELECT g.dst AS vertex, min(g.src) AS parent FROM {order_part_dense} g JOIN {orders} f ON g.src = 2 * f.idx GROUP BY g.dst")
@@ -135,7 +135,7 @@ q("expand_frontier", lambda g, f: bfs.expand_frontier(g, f.select((2 * F.col("id
 def _verified(g: DataFrame) -> DataFrame:
     both = cut(components.symmetrise(g))
     root = _root(g)
-    return bfs.verify_bfs_tree(bfs.bfs_tree(both, root), both, root)
+    return bfs.verify_bfs_tree(bfs.bfs_tree(both, root, symmetric=True), both, root)
 
 
 q("bfs_verified", _verified, e("order_part_dense"), sql=_LV + f"SELECT cast(0 AS bigint) AS code, count(*) AS n FROM {_sym('order_part_dense')} s JOIN t ON s.src = t.v")
