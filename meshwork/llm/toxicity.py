@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs of a word are word-level (log-odds and a hashed code of the whole word) and character-level (log-odds
-and a hashed code of its 4- and 5-grams with word bounds), so that a word never seen is known by its parts. A
+and a hashed code of its n-grams of 3 to 5 letters, word bounds included), so that a word never seen is known by its parts. A
 text is read in windows of WINDOW words, one every STRIDE, all of it; the network reads each window both
 ways, pools its states by attention and gives a logit. A document's score is the calibrated logit of its
 worst window.
@@ -31,7 +31,7 @@ from meshwork.llm.text import slices
 
 WINDOW, STRIDE, HIDDEN, ATTENTION, CODE = 64, 32, 8, 8, 3
 SAMPLE, STEPS, BATCH, RATE, SEED = 2000, 300, 256, 0.02, 7
-BUCKETS, GRAMS, THRESHOLD, FOLDS, HELD = 1 << 18, (4, 5), 0.3, 4, 2
+BUCKETS, GRAMS, THRESHOLD, FOLDS, HELD = 1 << 18, (3, 4, 5), 0.3, 4, 2
 EDGES = " .,;:!?$#%&*|\"'()[]{}<>«»…-–_"
 INPUTS = 3 + 2 * CODE
 
@@ -56,7 +56,7 @@ class Words:
         owner = np.repeat(np.arange(self.n), sizes)
         place = (np.arange(len(codes)) - starts[owner]).astype(np.uint64)
         whole = np.add.reduceat(_mix(codes + place * np.uint64(0x100000001B3)), starts)
-        self.word = (_mix(whole) >> np.uint64(46)).astype(np.int64) & BUCKETS - 1
+        self.word = (_mix(whole) >> np.uint64(46)).astype(np.int32) & BUCKETS - 1
         grams, of = [], []
         for n in GRAMS:
             if len(codes) < n:
@@ -67,7 +67,7 @@ class Words:
             inside = owner[: len(h)] == owner[n - 1 :]
             grams.append((h[inside] >> np.uint64(40)).astype(np.int64) & BUCKETS - 1)
             of.append(owner[: len(h)][inside])
-        self.gram, self.of = np.concatenate(grams or [np.zeros(0, np.int64)]), np.concatenate(of or [np.zeros(0, np.int64)])
+        self.gram, self.of = (np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int32) for x in (grams, of))
 
 
 @dataclass
@@ -250,7 +250,8 @@ def train(texts: list[str], y: np.ndarray, rate: float) -> Model:
     docs = []
     for a, z in zip(ends - counts, ends, strict=True):
         own = np.unique(index[a:z])
-        docs.append((np.unique(words.word[own]), np.unique(np.concatenate([np.zeros(0, np.int64), *(grams[i] for i in own)]))))
+        docs.append((np.unique(words.word[own]), np.unique(np.concatenate([np.zeros(0, np.int32), *(grams[i] for i in own)]))))
+    del grams
     calibrate = rng.random(len(y)) < 0.25
     fold = rng.integers(0, 2, len(y))
     at, doc = windows(counts, words.n, index)
@@ -260,7 +261,8 @@ def train(texts: list[str], y: np.ndarray, rate: float) -> Model:
         ev = _evidence([docs[i] for i in np.flatnonzero(others)], y[others])
         inputs.append(ev.inputs(words))
         proof = inputs[k][:, :2].max(1)
-        best = np.where(at < words.n, proof[np.minimum(at, words.n)], -9).max(0)
+        proof[-1] = -9  # padding
+        best = np.concatenate([proof[at[:, i : i + 8192]].max(0) for i in range(0, at.shape[1], 8192)])
         for i in np.flatnonzero(~calibrate & (fold == k)):
             lo, hi = np.searchsorted(doc, [i, i + 1])
             order = lo + np.argsort(-best[lo:hi], kind="stable")
