@@ -385,6 +385,7 @@ q("triples_transposed", _round_trip(lambda a, p: sinks.write_matrix_market(a, p,
 q("triples_no_values", _round_trip(lambda a, p: sinks.write_matrix_market(a, p, _SIDE, _SIDE, "pattern"), lambda s, p: readers.read_triples(s, p, no_num=True)[0]), m("b"), sql="SELECT row, col, 1.0::double AS val FROM {b}")
 q("binary_matrix_round_trip", _round_trip(lambda a, p: sinks.write_binary_matrix(a, p, _SIDE, _SIDE), lambda s, p: readers.read_binary_matrix(s, p)[0]), m("b"), sql="SELECT row, col, val::double AS val FROM {b}")
 q("vector_round_trip", _round_trip(sinks.write_vector, readers.read_vector), v("orders"), sql="SELECT idx, val::double AS val FROM {orders}")
+q("binary_vector_round_trip", _round_trip(sinks.write_binary_vector, readers.read_binary_vector), v("balance"), sql="SELECT idx, val::double AS val FROM {balance}")
 q("hypergraph_lines", _round_trip(lambda a, p: sinks.write_hypergraph(a, p, 10, 10), lambda s, p: s.read.text(p).select(F.col("value").alias("line"))), m("b"), sql="SELECT '0 10 10 ' || count(*) AS line FROM {b} UNION ALL SELECT string_agg(col, ' ' ORDER BY col) FROM {b} GROUP BY row")
 q("matrix_description", lambda a: sinks.describe(a).select("rows"), m("b"), sql="SELECT count(*) AS rows FROM {b}")
 

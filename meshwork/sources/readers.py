@@ -115,18 +115,31 @@ def _ranges(spark: SparkSession, path: str, record: int, skip: int, schema: str,
     return spark.range(-(-(size // record) // step)).mapInArrow(run, schema)
 
 
+def _binary_parts(spark: SparkSession, path: str, kind: np.dtype, schema: str, decode: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """Fixed records of a file, or of all .bin files of a folder."""
+    path = path if "://" in path else f"file://{path}"
+    store, base = fs.FileSystem.from_uri(path)
+    root = path.removesuffix(base)
+    info = store.get_file_info(base)
+    files = [path] if info.type == fs.FileType.File else []
+    if info.type == fs.FileType.Directory:
+        files = sorted(root + x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".bin"))
+    out = spark.createDataFrame([], schema)
+    for f in files:
+        out = out.unionAll(_ranges(spark, f, kind.itemsize, 0, schema, decode, kind))
+    return out
+
+
 def read_binary_edges(spark: SparkSession, path: str, bits: int = 64) -> DataFrame:
     """Pairs of little-endian unsigned integers of 32 or 64 bits; path is a file or a folder of .bin files."""
     kind = np.dtype([("s", f"<u{bits // 8}"), ("d", f"<u{bits // 8}")])
-    store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    root = (path if "://" in path else f"file://{path}").removesuffix(base)
-    info = store.get_file_info(base)
-    files = [path] if info.type == fs.FileType.File else sorted(root + x.path for x in store.get_file_info(fs.FileSelector(base)) if x.path.endswith(".bin"))
-    out = None
-    for f in files:
-        part = _ranges(spark, f, kind.itemsize, 0, "src long, dst long", lambda x: [x["s"].astype(np.int64), x["d"].astype(np.int64)], kind)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], "src long, dst long")
+    return _binary_parts(spark, path, kind, "src long, dst long", lambda x: [x["s"].astype(np.int64), x["d"].astype(np.int64)])
+
+
+def read_binary_vector(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, val) of records of a 64-bit index, 0-based, and a double; path is a file or a folder of .bin files."""
+    kind = np.dtype([("i", "<i8"), ("v", "<f8")])
+    return _binary_parts(spark, path, kind, "idx long, val double", lambda x: [x["i"], x["v"]])
 
 
 #: Fixed values of the binary matrix header: magic, then version, object size, format, rows, columns, entries.

@@ -101,6 +101,11 @@ def write_vector(v: DataFrame, path: str) -> None:
     v.select("idx", "val").orderBy("idx").select(F.concat_ws(" ", F.col("idx") + 1, F.col("val")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_binary_vector(v: DataFrame, path: str) -> list[str]:
+    """Records of a 64-bit index and a double, a file per task."""
+    return _parts(v.select("idx", F.col("val").cast("double").alias("val")), path, np.dtype([("i", "<i8"), ("v", "<f8")]))
+
+
 def write_hypergraph(a: DataFrame, path: str, nrows: int, ncols: int) -> None:
     """Rows as nets, for partitioners: a head line `0 cells nets pins`, then the columns of each row, in order."""
     spark = a.sparkSession
