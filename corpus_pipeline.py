@@ -6,6 +6,8 @@ their operator's defined results: null texts count as empty, rows without a doc_
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm.mixing import mixed
@@ -14,6 +16,7 @@ from meshwork.llm.quality import keep_good
 from meshwork.llm.rules import kept_documents
 from meshwork.llm.simhash import one_of_each
 from meshwork.llm.text import table
+from meshwork.session import checkpoint_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's rows are written once, in the shared folder, and read by the next."""
-    from meshwork.session import cut
-
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Each stage's rows are written once, as Parquet in the shared folder, and read by the next."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
