@@ -51,3 +51,16 @@ VECTORS = {
     "late": Source("SELECT o_custkey AS idx, cast(count(*) AS bigint) AS val FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
     "balance": Source("SELECT c_custkey AS idx, cast(floor(c_acctbal) AS bigint) AS val FROM customer WHERE c_custkey IS NOT NULL"),
 }
+#: The same graphs, matrices and vectors over every row: what the queries named _whole run over.
+_ALL_EDGES = Source("SELECT 2 * l_orderkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem")
+WHOLE = {
+    "order_part": _ALL_EDGES,
+    "order_part_dense": _ALL_EDGES,
+    "b": Source("SELECT l_partkey AS row, l_suppkey AS col, cast(count(*) AS bigint) AS val FROM lineitem GROUP BY l_partkey, l_suppkey"),
+    "s": Source("SELECT l_suppkey AS row, cast(month(l_shipdate) AS bigint) AS col, cast(count(*) AS bigint) AS val FROM lineitem GROUP BY l_suppkey, month(l_shipdate)"),
+    "q": Source(
+        "SELECT cast(c_nationkey AS bigint) AS row, cast(s_nationkey AS bigint) AS col, cast(count(*) AS bigint) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey"
+    ),
+    "x": Source("SELECT s_suppkey AS idx, cast(s_nationkey AS bigint) + 1 AS val FROM supplier"),
+}

@@ -12,7 +12,7 @@ from meshwork.functions import semiring as S
 from meshwork.operators import bfs, centrality, components, edges, independent, matching, relabel
 from meshwork.operators import matrix as M
 from meshwork.operators import vector as V
-from meshwork.plans.graphs import EDGES, MATRICES, VECTORS
+from meshwork.plans.graphs import EDGES, MATRICES, VECTORS, WHOLE, Source
 from meshwork.session import checkpoint_dir, cut
 from meshwork.sources import generators, readers, sinks
 
@@ -37,29 +37,46 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-def _sql(template: str) -> str:
+def _sql(template: str, whole: bool = False) -> str:
     """Names in braces become subqueries of the derived graphs, matrices and vectors."""
-    for group in (EDGES, MATRICES, VECTORS):
+    for group in (WHOLE,) * whole + (EDGES, MATRICES, VECTORS):
         for name, source in group.items():
             template = template.replace("{" + name + "}", f"({source.sql})")
     return template
 
 
+class Derived:
+    """A derived table as a query; whole is the same over every row, itself where it leaves none out."""
+
+    def __init__(self, group: dict[str, Source], name: str):
+        self.group, self.name = group, name
+
+    def __call__(self, s: SparkSession, d: str) -> DataFrame:
+        return self.group[self.name](s, d)
+
+    @property
+    def whole(self) -> Derived:
+        return Derived(WHOLE, self.name) if self.name in WHOLE else self
+
+
 def e(name: str) -> Query:
-    return lambda s, d: EDGES[name](s, d)
+    return Derived(EDGES, name)
 
 
 def m(name: str) -> Query:
-    return lambda s, d: MATRICES[name](s, d)
+    return Derived(MATRICES, name)
 
 
 def v(name: str) -> Query:
-    return lambda s, d: VECTORS[name](s, d)
+    return Derived(VECTORS, name)
 
 
 def q(name: str, make, *sources: Query, sql: str | None = None) -> None:
-    """A query of make(DataFrame, ...) over sources."""
+    """A query of make(DataFrame, ...) over sources, and name_whole where a source leaves rows out."""
     query(name, lambda s, d: make(*(x(s, d) for x in sources)), _sql(sql) if sql else None)
+    whole = [getattr(x, "whole", x) for x in sources]
+    if any(x is not y for x, y in zip(sources, whole, strict=True)):
+        query(f"{name}_whole", lambda s, d: make(*(x(s, d) for x in whole)), _sql(sql, True) if sql else None)
 
 
 def _sym(edge: str) -> str:
@@ -274,7 +291,8 @@ q("dim_apply", lambda a, x: M.dim_apply(a, "col", x, scalars.times), m("a"), v("
 q("dim_apply_normalise", lambda a: M.apply(M.dim_apply(a, "col", M.mat_reduce(a, "col", F.sum), lambda x, t: x / t), lambda x: F.round(x, 9)), m("a"), sql="SELECT row, a.col, round(a.val::double / t.val, 9) AS val FROM {a} a JOIN (SELECT col, sum(val)::double AS val FROM {a} GROUP BY col) t ON a.col = t.col")
 q("reduce_row", lambda a: M.mat_reduce(a, "row", F.sum), m("a"), sql="SELECT row AS idx, cast(sum(val) AS bigint) AS val FROM {a} GROUP BY row")
 q("reduce_col", lambda a: M.mat_reduce(a, "col", F.max, unary=lambda x: -x), m("a"), sql="SELECT col AS idx, max(-val) AS val FROM {a} GROUP BY col")
-query("reduce_dense", lambda s, d: M.mat_reduce(MATRICES["b"](s, d), "col", F.sum, zero=0, n=_n(s, d, "supplier")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM supplier))) AS i) r LEFT JOIN (SELECT col, cast(sum(val) AS bigint) AS val FROM {b} GROUP BY col) t ON t.col = r.i"))
+for _end, _b in {"": m("b"), "_whole": m("b").whole}.items():
+    query(f"reduce_dense{_end}", lambda s, d, b=_b: M.mat_reduce(b(s, d), "col", F.sum, zero=0, n=_n(s, d, "supplier")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM supplier))) AS i) r LEFT JOIN (SELECT col, cast(sum(val) AS bigint) AS val FROM {b} GROUP BY col) t ON t.col = r.i", bool(_end)))
 q("masked_reduce", lambda a, x: M.mat_reduce(a, "col", F.sum, mask=x), m("a"), v("orders"), sql="SELECT col AS idx, cast(sum(val) AS bigint) AS val FROM {a} WHERE row IN (SELECT idx FROM {orders}) GROUP BY col")
 q("masked_reduce_exclude", lambda a, x: M.mat_reduce(a, "col", F.sum, mask=x, exclude=True), m("a"), v("orders"), sql="SELECT col AS idx, cast(sum(val) AS bigint) AS val FROM {a} WHERE row NOT IN (SELECT idx FROM {orders}) GROUP BY col")
 for _name, _sr, _agg in (
@@ -290,7 +308,8 @@ for _name, _sr, _agg in (
 ):
     q(f"spmspv_{_name}", lambda a, x, r=_sr: M.spmv(a, x, r), m("a"), v("x"), sql=f"SELECT a.row AS idx, {_agg} AS val FROM {{a}} a JOIN {{x}} x ON a.col = x.idx GROUP BY a.row")
 q("spmspv_random", lambda a, x: M.spmv(a, x, S.select_random(3)), m("a"), v("x"))
-query("spmv_dense", lambda s, d: M.spmv(MATRICES["a"](s, d), V.densify(VECTORS["x"](s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i"))
+for _end, _x in {"": v("x"), "_whole": v("x").whole}.items():
+    query(f"spmv_dense{_end}", lambda s, d, x=_x: M.spmv(MATRICES["a"](s, d), V.densify(x(s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i", bool(_end)))
 _MM = "SELECT a.row, s.col, {agg} AS val FROM {{a}} a JOIN {{s}} s ON a.col = s.row GROUP BY a.row, s.col"
 q("spgemm", M.spgemm, m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
 q("spgemm_layers", lambda a, b: M.spgemm(a, b, layers=4), m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
@@ -339,7 +358,10 @@ q("amg_galerkin", _galerkin, e("order_part"), sql=f"SELECT true AS same, count(*
 q("betweenness", lambda g: (lambda b: centrality.betweenness(b, b.select(F.col("src").alias("vertex")).distinct()).select("vertex", F.round("score", 6).alias("score")))(cut(components.symmetrise(g))), e("order_part"))
 q("markov_clusters", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))), e("duplicate_documents"))
 q("markov_clusters_cover", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))).agg(F.count_distinct("vertex").alias("n")), e("duplicate_documents"), sql="SELECT count(*) AS n FROM (SELECT src FROM {duplicate_documents} UNION SELECT dst FROM {duplicate_documents})")
-_bip: Query = lambda s, d: EDGES["order_part"](s, d).select(F.col("src").alias("row"), F.col("dst").alias("col"))
+
+
+def _bip(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda g: make(g.select(F.col("src").alias("row"), F.col("dst").alias("col")))
 
 
 def _matched(how: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -352,9 +374,9 @@ def _matched(how: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
 
 
 for _how in matching.METHODS:
-    q(f"matching_{_how}_check", _matched(lambda b, h=_how: matching.maximal_matching(b, h)), _bip, sql="SELECT true AS ok, true AS maximal")
-q("matching_maximum_check", _matched(matching.maximum_matching), _bip, sql="SELECT true AS ok, true AS maximal")
-q("matching_maximum_size", lambda b: matching.maximum_matching(b).agg(F.count(F.lit(1)).alias("n")), _bip)
+    q(f"matching_{_how}_check", _bip(_matched(lambda b, h=_how: matching.maximal_matching(b, h))), e("order_part"), sql="SELECT true AS ok, true AS maximal")
+q("matching_maximum_check", _bip(_matched(matching.maximum_matching)), e("order_part"), sql="SELECT true AS ok, true AS maximal")
+q("matching_maximum_size", _bip(lambda b: matching.maximum_matching(b).agg(F.count(F.lit(1)).alias("n"))), e("order_part"))
 query("bfs_statistics", lambda s, d: bfs.bfs_statistics(s.range(1, 6).select((F.col("id") * 1_000_000).alias("edges"), F.lit(1.0).alias("seconds"))).select("least", "q1", "median", "q3", "most", "mean"), "SELECT 1.0::double AS least, 2.0::double AS q1, 3.0::double AS median, 4.0::double AS q3, 5.0::double AS most, 3.0::double AS mean")
 
 
@@ -418,7 +440,8 @@ def _debruijn(s: SparkSession, d: str) -> DataFrame:
 
 _READ = "(SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 query("debruijn_counts", _debruijn, f"WITH k AS (SELECT substr(s, i, 31) AS a, substr(s, i + 1, 31) AS b FROM (SELECT s, unnest(range(1, greatest(length(s) - 30, 1))) AS i FROM {_READ} WHERE length(s) > 31)) SELECT 2 * (SELECT count(*) FROM k) AS n_edges, (SELECT count(*) FROM (SELECT DISTINCT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k))) AS n_vertices")
-query("cc_debruijn", lambda s, d: edges.component_sizes(components.star_components(readers.kmer_edges(_reads(s, d, "benchmark"), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")))
+for _end, _table in {"": "benchmark", "_whole": "documents"}.items():
+    query(f"cc_debruijn{_end}", lambda s, d, t=_table: edges.component_sizes(components.star_components(readers.kmer_edges(_reads(s, d, t), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")))
 query("chain", lambda s, d: generators.chain(s, 1000), "SELECT i AS src, i + 1 AS dst FROM (SELECT unnest(range(999)) AS i) UNION ALL SELECT i + 1, i FROM (SELECT unnest(range(999)) AS i)")
 query("cc_chain", lambda s, d: edges.component_sizes(components.star_components(generators.chain(s, 5000))), "SELECT 0::bigint AS component, 5000::bigint AS n")
 query("kronecker_counts", lambda s, d: generators.kronecker(s, 12, 16).agg(F.count(F.lit(1)).alias("n"), (F.max("src") < 4096).alias("in_range")), "SELECT cast(2 * 16 * 4096 AS bigint) AS n, true AS in_range")
