@@ -40,7 +40,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sp
 OUTSIDE = frozenset("header topbar".split())
 ROOMY = frozenset("html body article main".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(>|\Z)?|<[!?/][^>]*+>?|[^<]++|<""", re.S)
+#: A quote delimits only after "="; one that never closes is an ordinary character, and its tag ends at the next ">".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(>|\Z)|<[!?/][^>]*+>?|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -79,8 +80,6 @@ class Page:
                     self._put(stack[-1], unescape(piece) if "&" in piece else piece)
                 continue
             if m[4] != ">":
-                if m[4] is None:  # a quote that never ends: nothing after it can be read
-                    at = size
                 break
             name = name.lower()
             if m[1]:

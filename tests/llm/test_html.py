@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import pytest
@@ -37,6 +38,29 @@ def test_pages_that_break_off(cut):
     assert main_text(cut) == "kept text\nmore"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p title=it's>first text</p><p>second</p>", "first text\nsecond"),
+        ('<a href="x"y">link</a><p>one</p><p class="k">two</p>', "link\none\ntwo"),
+        ("<p title=it's>one</p><p title='a > b'>two</p>", "one\ntwo"),
+        ('<p>one</p><p title="never closed>two</p><p>three</p>', "one\ntwo\nthree"),
+        ('<p title = "a > b" data-x==">one</p>', "one"),
+        ('<p><a href=/x?q="y>link</a> one</p><p class="k">two</p>', "link one\ntwo"),
+        ('<p "=>one</p><p>two</p>', "one\ntwo"),
+    ],
+)
+def test_stray_quotes(page, want):
+    assert main_text(page) == want
+
+
+def test_many_stray_quotes_take_linear_time():
+    page = "<p title='" + "<b a=\"x " * 20_000 + ">one</p>"
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_every_article_of_a_table(sf_dir):
     """Brute force for pages whose article is plain: regular expressions over the markup."""
     for page_id, page in duckdb.sql(f"SELECT page_id, html FROM '{sf_dir}/pages.parquet'").fetchall():
