@@ -2,6 +2,8 @@
 
 A page becomes a tree, closing what HTML closes implicitly. Elements that are never article text (scripts,
 menus, forms, notices, adverts, comments, ...) leave it by tag, role or class, unless they hold all articles of the page.
+A name in a class or id isn't enough where the subtree has more than half of the text outside links of its article, or
+of the page; readers' replies stay only on pages without other text.
 For every other node: C characters, T tags, LC characters in links, LT link tags, all of its subtree. Its density is
 
     C / T * log(C * T / (LC * LT)) / log(1 + log(C * LC / (C - LC) + C * LCb / Cb + e))
@@ -38,6 +40,11 @@ NEVER = frozenset("head nav aside footer form script style noscript iframe svg m
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments commentlist respond replies reply disqus sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup share sharing social related recommended popup modal overlay toolbar pagination pager masthead login search".split())
 OUTSIDE = frozenset("header topbar".split())
+#: Sections that readers write: with names of these alone, they go however long they are, unless they are all there is.
+REPLIES = frozenset("comment comments commentlist respond replies reply disqus".split())
+#: Words that turn a name after or before them into a remark on the layout ("no-sidebar", "share-enabled").
+BEFORE = frozenset("no not has have with without".split())
+AFTER = frozenset("enabled disabled layout ready".split())
 ROOMY = frozenset("html body article main".split())
 
 #: A quote delimits only after "="; one that never closes is an ordinary character, and its tag ends at the next ">".
@@ -46,6 +53,16 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _names(value: str) -> tuple[set[str], bool]:
+    """The words of a class or id that name a thing, and whether a token consists of words for readers' replies alone."""
+    found, replies = set(), False
+    for token in value.split():
+        words = _WORDS.findall(token)
+        found.update(w for k, w in enumerate(words) if not (k and words[k - 1] in BEFORE or k + 1 < len(words) and words[k + 1] in AFTER))
+        replies = replies or bool(words) and REPLIES.issuperset(words)
+    return found, replies
+
+
 class Page:
     """The tree in arrays: nodes in page order, a parent before its children; events are texts and block boundaries (None)."""
 
@@ -133,32 +150,66 @@ class Page:
     def gone(self) -> list[bool]:
         """Whether a node is in a part that is never article text."""
         n = len(self.tag)
-        holds, inside = [int(t in ("article", "main")) for t in self.tag], [False] * n
+        holds, inside, frame = [int(t in ("article", "main")) for t in self.tag], [False] * n, [0] * n
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] += holds[i]
-        out = [False] * n
+        kind, off = [""] * n, [False] * n
         for i in range(1, n):
             up = self.parent[i]
-            inside[i] = inside[up] or self.tag[up] in ("article", "main")
+            framed = self.tag[up] in ("article", "main")
+            inside[i], frame[i] = inside[up] or framed, up if framed else frame[up]
+            kind[i] = self._boiler(i, inside[i])
             # what holds every article of the page is a frame around it, whatever its name says
-            out[i] = out[up] or (self._boiler(i, inside[i]) and not (holds[i] and holds[i] == holds[0]))
+            if holds[i] and holds[i] == holds[0]:
+                kind[i] = ""
+            off[i] = off[up] or kind[i] == "sure" or self.tag[i] == "a"
+        replies = self._amounts(off)
+        for i in range(1, n):
+            # readers' replies are no bulk, unless the page has nothing else
+            off[i] = off[i] or off[self.parent[i]] or kind[i] == "replies" and replies[i] < replies[0]
+        plain = self._amounts(off)
+        # beside an article that nothing names, what is named is no main text, however long
+        clear = [True] * n
+        for i in range(1, n):
+            clear[i] = clear[self.parent[i]] and not kind[i]
+        elsewhere = any(clear[i] and plain[i] and self.tag[i] in ("article", "main") for i in range(1, n))
+        out = [False] * n
+        for i in range(1, n):
+            named = kind[i] == "name" and (2 * plain[i] <= plain[frame[i]] or elsewhere and not inside[i]) or kind[i] == "replies" and (off[i] or not plain[i])
+            out[i] = out[self.parent[i]] or kind[i] == "sure" or named
         return out
 
-    def _boiler(self, i: int, inside: bool) -> bool:
+    def _amounts(self, off: list[bool]) -> list[int]:
+        """Characters of each subtree, without the nodes that are off."""
+        c = [0] * len(self.tag)
+        for text, node in zip(self.events, self.owner, strict=True):
+            if text and not off[node]:
+                c[node] += len(text.strip())
+        for i in range(len(c) - 1, 0, -1):
+            c[self.parent[i]] += c[i]
+        return c
+
+    def _boiler(self, i: int, inside: bool) -> str:
+        """Whether a node is boilerplate for sure, by its name (unless it has the bulk of the text), as replies, or not."""
         tag = self.tag[i]
         if tag in NEVER or tag == "header" and not inside:
-            return True
+            return "sure"
         if tag in ROOMY or not self.attrs[i]:
-            return False
+            return ""
+        out = ""
         for m in _ATTR.finditer(self.attrs[i]):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" and "=" not in m[0] or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return "sure"
             if key == "role" and value in ROLES:
-                return True
-            if key in ("class", "id") and (words := _WORDS.findall(value)) and (not NAMES.isdisjoint(words) or not inside and not OUTSIDE.isdisjoint(words)):
-                return True
-        return False
+                return "sure"
+            if key in ("class", "id"):
+                words, replies = _names(value)
+                if replies:
+                    out = "replies"
+                elif not out and (not NAMES.isdisjoint(words) or not inside and not OUTSIDE.isdisjoint(words)):
+                    out = "name"
+        return out
 
     def densities(self, gone: list[bool]) -> tuple[list[float], list[float]]:
         """(density, density sum) by node; parts that are gone count nowhere."""

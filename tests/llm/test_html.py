@@ -38,6 +38,22 @@ def test_pages_that_break_off(cut):
     assert main_text(cut) == "kept text\nmore"
 
 
+@pytest.mark.parametrize("name", ["class='post-content no-sidebar'", "class='content has-sidebar'", "class='entry share-enabled'", "class=no-comments", "id=social-science", "id='related-work'", "class=widget"])
+@pytest.mark.parametrize("around", ["<body><nav>menu</nav><div {}>{}</div><div class=sidebar>short</div>", "<article><div {}>{}</div><div class=share>tell all</div></article>", "<body><div {}><div {}>{}</div><div class=comments><p>I like it, I really do.</p></div></div>"])
+def test_a_name_does_not_drop_the_bulk_of_the_text(name, around):
+    assert main_text(around.format(*[name] * (around.count("{}") - 1), BODY)) == WANT
+
+
+def test_a_long_advert_beside_an_article_stays_out():
+    assert main_text(f"<body><div class=ad>{'buy this now ' * 200}</div><article>{BODY}</article>") == WANT
+
+
+@pytest.mark.parametrize("around", ["<body><div id=content>{}</div><div class=comments>{}</div>", "<article>{}<section id=comments>{}</section></article>"])
+def test_long_replies_stay_out(around):
+    replies = "".join(f"<p>Reply {i} by a reader who has much to say on this story.</p>" for i in range(50))
+    assert main_text(around.format(BODY, replies)) == WANT
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
