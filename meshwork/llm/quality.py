@@ -1,9 +1,10 @@
 """Quality by co-training: a text-content view and a metadata view teach each other, then score together.
 
-Each view is a ridge logistic regression on features that Spark computes. Training runs in numpy on the driver
-over a bounded sample (SAMPLE labelled and SAMPLE other rows, the first by a hash of doc_id, features only).
-In every round each view labels the rows of the unlabelled pool of which it is most sure, and these join the
-other view's training set. Both views are then calibrated (Platt) on labelled rows that neither was
+Each view is a ridge logistic regression on features that Spark computes. Labelled rows come to the driver as a
+bounded sample (SAMPLE of either class, the first by a hash of doc_id, features only), weighted to the true rate.
+In every round each view labels all unlabelled documents of which it is sure, and these join the other view's
+training set: their features stay in Spark, where every Newton step sums loss, gradient and curvature, a row for
+each partition. Both views are then calibrated (Platt) on labelled rows that neither was
 trained on, and a logistic regression over the calibrated logits combines them. Scoring all documents is one
 SQL expression: no shuffle, no Python.
 
@@ -14,17 +15,20 @@ of labels without a label are ignored; without labels of both classes every docu
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshwork.llm.text import settled, word_array
+from meshwork.session import cut
 
-#: Rows of each sample; rounds; rows of each class that a view passes on in a round; least certainty for that.
-SAMPLE, ROUNDS, PASS_ON, SURE = 8000, 4, 200, 0.95
+#: Labelled rows of each class; rounds; least certainty of a label that a view passes on.
+SAMPLE, ROUNDS, SURE = 8000, 4, 0.95
 KEEP_FROM = 0.3
 BUCKETS = {"source": 64, "lang": 16}
 TEXT = ("words", "word_chars", "symbols", "upper", "line_words", "distinct", "letters", "digits", "stops", "repeats")
@@ -87,49 +91,113 @@ class Model:
         return t, m
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights, bias last, by damped Newton steps."""
+def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature at w (bias last) in one array."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+    z = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    loss = weight @ (np.logaddexp(0, z) - y * z)
+    return np.concatenate([[loss], x.T @ (weight * (p - y)), ((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x).ravel()])
+
+
+def _newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], start: list[np.ndarray], ridge: float = 1.0, steps: int = 30) -> list[np.ndarray]:
+    """Weights of several regressions, a pass over their rows for each step of all; a step that loses is halved."""
+    ws, last = list(start), [(np.inf, w, w) for w in start]
+    done = [False] * len(ws)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
-        w -= step
-        if np.abs(step).max() < 1e-7:
+        for k, total in enumerate(sums(ws)):
+            if done[k]:
+                continue
+            w, d = ws[k], len(ws[k])
+            penalty = np.full(d, ridge)
+            penalty[-1] = 1e-6
+            loss = total[0] + penalty @ (w * w) / 2
+            if loss > last[k][0] + 1e-9 * abs(last[k][0]):
+                step = last[k][2] / 2
+                last[k] = (last[k][0], last[k][1], step)
+            else:
+                step = np.linalg.solve(total[d + 1 :].reshape(d, d) + np.diag(penalty), total[1 : d + 1] + penalty * w)
+                last[k] = (loss, w, step)
+            ws[k] = last[k][1] - step
+            done[k] = bool(np.abs(step).max() < 1e-5)
+        if all(done):
             break
-    return w
+    return ws
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights, bias last, of rows at hand."""
+    return _newton(lambda ws: [_sums(x, y, weight, ws[0])], [np.zeros(x.shape[1] + 1)])[0]
 
 
 def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], calibrate: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(weights of each view with its calibration folded in, weights of the combination)."""
+def _passed(pool: tuple[np.ndarray, np.ndarray], history: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """For each view the labels that the other gave its rows, by the first of its models that was sure; NaN without one."""
+    out = []
+    for k in range(2):
+        y = np.full(len(pool[k]), np.nan)
+        for models in history:
+            p = 1 / (1 + np.exp(-_apply(models[1 - k], pool[1 - k])))
+            y = np.where(~np.isnan(y), y, np.where(p >= SURE, 1.0, np.where(1 - p >= SURE, 0.0, np.nan)))
+        out.append(y)
+    return out
+
+
+def _pool_sums(pool: tuple[np.ndarray, np.ndarray], history: list[list[np.ndarray]], ws: list[np.ndarray]) -> list[np.ndarray]:
+    return [_sums(x[has], y[has], np.ones(has.sum()), w) for x, y, w in zip(pool, _passed(pool, history), ws, strict=True) for has in (~np.isnan(y),)]
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, calibrate: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """(weights of each view with its calibration folded in, weights of the combination).
+
+    pool is the unlabelled rows of both views, or a function of (history, weights) that sums over them.
+    """
+    y, weight = y.astype(float), np.ones(len(y)) if weight is None else weight
+    far = pool if callable(pool) else lambda history, ws: _pool_sums(pool, history, ws)
     train = ~calibrate
-    sets = [[v[train]] for v in views], [[y[train].astype(float)] for _ in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
-    for _ in range(ROUNDS + 1):
-        models = [_logistic(np.vstack(x), np.concatenate(t)) for x, t in zip(*sets, strict=True)]
-        if _ == ROUNDS:
-            break
-        for me, other in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-_apply(models[me], pool[me])))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                pick = np.argsort(-np.where(free[other], sure, -1), kind="stable")[:PASS_ON]
-                pick = pick[(sure[pick] >= SURE) & free[other][pick]]
-                free[other][pick] = False
-                sets[0][other].append(pool[other][pick])
-                sets[1][other].append(np.full(len(pick), label))
-    held = y[calibrate].astype(float)
-    logits = []
+    near = lambda ws: [_sums(v[train], y[train], weight[train], w) for v, w in zip(views, ws, strict=True)]
+    models = _newton(near, [np.zeros(v.shape[1] + 1) for v in views])
+    history: list[list[np.ndarray]] = []
+    for _ in range(ROUNDS):
+        history.append(models)
+        models = _newton(lambda ws: [a + b for a, b in zip(near(ws), far(history, ws), strict=True)], models)
+    held, logits = y[calibrate], []
     for k, (m, v) in enumerate(zip(models, views, strict=True)):
-        a, b = _logistic(_apply(m, v[calibrate])[:, None], held)
+        a, b = _logistic(_apply(m, v[calibrate])[:, None], held, weight[calibrate])
         models[k] = np.append(m[:-1] * a, m[-1] * a + b)
         logits.append(_apply(models[k], v[calibrate]))
-    return models, _logistic(np.stack(logits, 1), held)
+    return models, _logistic(np.stack(logits, 1), held, weight[calibrate])
+
+
+def _arrays(text: np.ndarray, size: np.ndarray, source: np.ndarray, lang: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows."""
+    hot = [np.eye(BUCKETS[c])[v.astype(int)] for c, v in (("source", source), ("lang", lang))]
+    return (text - mean) / dev, np.hstack([size[:, None] / 5, size[:, None] ** 2 / 50, *hot])
+
+
+def _summed(pool: DataFrame, mean: np.ndarray, dev: np.ndarray) -> Callable[[list[list[np.ndarray]], list[np.ndarray]], list[np.ndarray]]:
+    """_pool_sums over the rows of pool (__mw_text_x, size, source, lang): what comes to the driver is a row for each partition."""
+
+    def sums(history: list[list[np.ndarray]], ws: list[np.ndarray]) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals = None
+            for b in batches:
+                if b.num_rows:
+                    text = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(TEXT))
+                    new = _pool_sums(_arrays(text, *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)), mean, dev), history, ws)
+                    totals = new if totals is None else [x + y for x, y in zip(totals, new, strict=True)]
+            if totals is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in totals], ["a", "b"])
+
+        totals = [np.zeros(1 + len(w) + len(w) ** 2) for w in ws]
+        for row in pool.mapInArrow(run, "a binary, b binary").collect():
+            totals = [t + np.frombuffer(x) for t, x in zip(totals, row, strict=True)]
+        return totals
+
+    return sums
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | float:
@@ -137,32 +205,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     by = F.xxhash64("doc_id", F.lit(7))
-    marked = {r.doc_id: r.y for r in known.orderBy(by, "doc_id", "y").limit(sample).collect()}
-    others = {r.doc_id for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(by, "doc_id").limit(sample).collect()} - marked.keys()
-    wanted = spark.createDataFrame([(i,) for i in sorted(marked.keys() | others)] or [(-1,)], T.StructType([T.StructField("__mw_id", T.LongType())]))
+    marked: dict[int, int] = {}
+    share: dict[int, float] = {}
+    for r in known.groupBy("y").count().orderBy("y").collect():
+        found = [x.doc_id for x in known.where(F.col("y") == r.y).orderBy(by, "doc_id").limit(sample).collect()]
+        marked |= dict.fromkeys(found, r.y)
+        share[r.y] = r["count"] / len(found)
+    wanted = spark.createDataFrame([(i,) for i in sorted(marked)] or [(-1,)], T.StructType([T.StructField("__mw_id", T.LongType())]))
     rows = docs.join(F.broadcast(wanted), F.col("doc_id").cast("long") == F.col("__mw_id"))
     rows = rows.withColumn("__mw_meta", meta_features(docs.columns))
     # repeated rows could exceed the sample: the same bound holds for what comes to the driver
-    rows = text_features(rows, ["__mw_id", "__mw_meta"]).orderBy(F.xxhash64("__mw_id", F.lit(7)), "__mw_id", "__mw_text_x").limit(3 * sample)
+    rows = text_features(rows, ["__mw_id", "__mw_meta"]).orderBy(F.xxhash64("__mw_id", F.lit(7)), "__mw_id", "__mw_text_x").limit(4 * sample)
     data = rows.select("__mw_id", "__mw_text_x", "__mw_meta.*").toPandas()
     if not len(data):
         return 1.0
     y = data["__mw_id"].map(marked).to_numpy(float)
     has = ~np.isnan(y)
-    rate = float(np.nanmean(y)) if has.any() else 1.0
+    # a class of which the sample holds a part weighs as much as all of it
+    weight = np.array([share.get(v, 1.0) for v in y])
+    weight[has] /= weight[has].mean() if has.any() else 1.0
+    rate = float(np.average(y[has], weights=weight[has])) if has.any() else 1.0
     if len(np.unique(y[has])) < 2 or min((y[has] == 0).sum(), (y[has] == 1).sum()) < 10:
         return rate
     text = np.stack(data["__mw_text_x"].to_numpy()).astype(float)
-    size = data["size"].to_numpy(float)
     mean, dev = text.mean(0), text.std(0) + 1e-6
-    hot = lambda c: np.eye(BUCKETS[c])[data[c].to_numpy(int)]
-    x = (text - mean) / dev
-    meta = np.hstack([size[:, None] / 5, size[:, None] ** 2 / 50, hot("source"), hot("lang")])
+    x, meta = _arrays(text, *(data[c].to_numpy(float) for c in ("size", "source", "lang")), mean, dev)
     # a row calibrates by its id, so that copies of a row stay on one side
     side = np.array([(int(i) * 2654435761 >> 7) % 4 == 0 for i in data["__mw_id"]])
     if len(np.unique(y[has & side])) < 2 or len(np.unique(y[has & ~side])) < 2:
         return rate
-    (wt, wm), wc = co_train((x[has], meta[has]), y[has], (x[~has], meta[~has]), side[has])
+    others = docs.withColumns({"__mw_id": F.col("doc_id").cast("long"), "__mw_meta": meta_features(docs.columns)})
+    others = text_features(others, ["__mw_id", "__mw_meta"]).join(known.select(F.col("doc_id").alias("__mw_id")), "__mw_id", "left_anti")
+    pool = cut(others.select("__mw_text_x", "__mw_meta.size", "__mw_meta.source", "__mw_meta.lang"))
+    (wt, wm), wc = co_train((x[has], meta[has]), y[has], _summed(pool, mean, dev), side[has], weight[has])
     raw = wt[:-1] / dev
     s, la = BUCKETS["source"], BUCKETS["lang"]
     return Model([float(w) for w in raw], float(wt[-1] - raw @ mean), (float(wm[0] / 5), float(wm[1] / 50)), [float(w) for w in wm[2 : 2 + s]], [float(w) for w in wm[2 + s : 2 + s + la]], float(wm[-1]), (float(wc[0]), float(wc[1]), float(wc[2])))

@@ -67,3 +67,31 @@ def test_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), one).count() == 0
     assert quality.keep_good(docs, none).count() == len(rows)
     assert quality.classify(docs.select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 40
+
+
+def test_all_sure_rows_reach_the_other_view(spark):
+    """Sums in Spark over every unlabelled row are those of numpy, without a bound on rows passed on."""
+    rng = np.random.default_rng(3)
+    n = 30_000
+    text, size = rng.normal(0, 1, (n, len(quality.TEXT))), rng.normal(0, 1, n)
+    source, lang = rng.integers(0, 64, n), rng.integers(0, 16, n)
+    mean, dev = np.zeros(len(quality.TEXT)), np.ones(len(quality.TEXT))
+    pool = quality._arrays(text, size, source, lang, mean, dev)
+    ws = [rng.normal(0, 2, v.shape[1] + 1) for v in pool]
+    rows = spark.createDataFrame([(t.tolist(), float(s), int(a), int(b)) for t, s, a, b in zip(text, size, source, lang, strict=True)], "x array<double>, size double, source int, lang int")
+    got, want = quality._summed(rows.repartition(5), mean, dev)([ws], ws), quality._pool_sums(pool, [ws], ws)
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert all((~np.isnan(y)).sum() > 2000 for y in quality._passed(pool, [ws]))
+
+
+def test_a_rare_class_is_learned_from(spark):
+    """The labelled sample is drawn per class: 30 bad documents beside 3,000 good ones, a sample of 200."""
+    rows, _ = made(n=400)
+    bad = [r for r in rows if r[0] % 4 == 0][:30]
+    good = [(1000 + i, *rows[1 + 4 * (i % 90)][1:]) for i in range(3000)]
+    docs = spark.createDataFrame(bad + good, DOCS)
+    labels = spark.createDataFrame([(r[0], 0) for r in bad] + [(r[0], 1) for r in good], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample=200)
+    assert isinstance(model, quality.Model)
+    out = quality.score(docs, model, ["doc_id"]).collect()
+    assert all((r["__mw_score"] >= quality.KEEP_FROM) == (r.doc_id >= 1000) for r in out)
