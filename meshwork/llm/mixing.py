@@ -128,12 +128,12 @@ def units(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
         block = F.pmod(_hash(F.lit(level), "key"), F.col("blocks"))
         folded = open_.groupBy("source", "blocks", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("by"), "key", "size", "p"))).alias("units"))
         folded = cut(folded.select("source", "blocks", _fold(F.transform("units", lambda u: F.struct(u["key"].alias("key"), u["size"].alias("size"), u["p"].alias("p")))).alias("f")))
-        root = most <= BLOCK
-        done = _repaid(F.col("f.done"), F.col("f.left")) if root else F.col("f.done")
+        # a source is at its root where one block holds it, whatever the size of others
+        done = F.when(F.col("blocks") == 1, _repaid(F.col("f.done"), F.col("f.left"))).otherwise(F.col("f.done"))
         decided.append(folded.select("source", F.explode(done).alias("d")).select("source", "d.key", "d.p"))
-        if root:
+        if most <= BLOCK:
             break
-        open_ = folded.where("f.left is not null").select("source", "f.left.*", F.ceil(F.col("blocks") / BLOCK).alias("blocks"))
+        open_ = folded.where("blocks > 1 and f.left is not null").select("source", "f.left.*", F.ceil(F.col("blocks") / BLOCK).alias("blocks"))
         most = -(-most // BLOCK)
         level += 1
     up = decided[0]

@@ -100,3 +100,11 @@ def test_hot_document_empty_table_and_extra_columns(spark):
     for r in out.collect():
         want[r.doc_id] += r.copies
     assert counts == {k: v for k, v in want.items() if v}
+
+
+def test_a_small_source_is_paid_back_beside_a_hot_one(spark, monkeypatch):
+    """99 documents of 200 words and one of 20,000, beside a source of several blocks."""
+    monkeypatch.setattr(mixing, "SEED", 0)
+    rows = [(i, "w " * (200 if i else 20_000), "b") for i in range(100)] + [(1000 + i, "w " * 60, "a") for i in range(700)]
+    mine = [r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect() if r.source == "b"]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 100 + 1e-6
