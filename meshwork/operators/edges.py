@@ -85,19 +85,15 @@ def _zeta(s: float, q: np.ndarray) -> np.ndarray:
     return head + tail
 
 
-def ks_statistic(values: np.ndarray, counts: np.ndarray, most_cuts: int = 200) -> tuple[float, float, float]:
+def ks_statistic(values: np.ndarray, counts: np.ndarray) -> tuple[float, float, float]:
     """(D, alpha, xmin) of the discrete power law that fits the values (with multiplicities) best from xmin on.
 
-    For each xmin of the distinct values (evenly spaced ones beyond most_cuts) alpha maximises the likelihood,
-    by golden section; the fit of least Kolmogorov-Smirnov distance D counts.
+    For each xmin of the distinct values but the last alpha maximises the likelihood, by golden section; the fit of least Kolmogorov-Smirnov distance D counts.
     """
     order = np.argsort(values)
     x, c = values[order].astype(float), counts[order].astype(float)
     best = (1.0, float("nan"), float("nan"))
-    cuts = range(max(len(x) - 1, 1))
-    if len(cuts) > most_cuts:
-        cuts = np.unique(np.linspace(0, len(x) - 2, most_cuts).astype(int)).tolist()
-    for i in cuts:
+    for i in range(max(len(x) - 1, 1)):
         y, w = x[i:], c[i:]
         n, logs = w.sum(), float(w @ np.log(y))
         cost = lambda a: a * logs + n * np.log(_zeta(a, y[:1])[0])  # noqa: B023, E731
