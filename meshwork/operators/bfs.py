@@ -1,7 +1,7 @@
 """Breadth-first search: trees, peeling of components, the tree verifier, and the adaptive choice of a method.
 
 A level is one join of the frontier with the edges, one partially aggregated min (the smallest parent wins)
-and one anti-join with what was visited; what a level found is kept in the shared folder.
+and one anti-join with what was visited; levels are parts of one table in the shared folder, read by one scan however deep the tree.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.operators.components import label_components, star_components, symmetrise
+from meshwork.operators.components import contract_components, label_components, symmetrise
 from meshwork.operators.edges import degree_ks, drop_visited
-from meshwork.session import cut
+from meshwork.session import Growing, cut, cut_counted
 
 
 def expand_frontier(edges: DataFrame, frontier: DataFrame, pick=F.min) -> DataFrame:
@@ -29,44 +29,38 @@ def bottom_up_step(edges: DataFrame, frontier: DataFrame, unvisited: DataFrame)
     return edges.join(todo, F.col("dst") == F.col("u"), "left_semi").join(at, F.col("src") == F.col("f")).groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
 
 
-def bfs_tree(edges: DataFrame, root: int, pick=F.min, single_child: bool = False, direction_optimising: bool = False, symmetric: bool = False, max_levels: int = 10_000) -> DataFrame:
+def bfs_tree(edges: DataFrame, root: int, pick=F.min, single_child: bool = False, direction_optimising: bool = False, symmetric: bool = False, max_levels: int = 1_000_000) -> DataFrame:
     """(vertex, parent, level) of what root reaches; the root is its own parent.
 
-    pick: which parent wins (F.min; F.max; a seeded hash for random parents). single_child: each parent keeps its
+    More than max_levels levels are an error, not a part of the tree. pick: which parent wins (F.min; F.max; a seeded hash for random parents). single_child: each parent keeps its
     smallest new child only. direction_optimising: levels whose frontier has over 1/20 of all edges, growing, go bottom-up
     until the frontier is below n^2 / (12 nnz). symmetric: the edges hold both directions, so that a neighbour of a level is
     in it, before it or new, and only the last two levels are compared, not all that was visited.
     """
     spark = edges.sparkSession
     first = spark.range(1).select(F.lit(root).cast("long").alias("vertex"), F.lit(root).cast("long").alias("parent"), F.lit(0).cast("long").alias("level"))
-    levels = [cut(first)]
+    tree = Growing(spark, "vertex long, parent long, level long")
+    frontier, fringe = tree.add(first)
     if direction_optimising:
-        vertices = cut(edges.select(F.col("dst").alias("vertex")).distinct())
-        nnz, n = edges.count(), vertices.count()
-        bottom, before = False, 0
-    for level in range(1, max_levels):
-        known = levels[-2:] if symmetric and not single_child and not direction_optimising else levels
-        visited = reduce(DataFrame.unionAll, [x.select("vertex") for x in known])
-        frontier = levels[-1]
+        vertices, n = cut_counted(edges.select(F.col("dst").alias("vertex")).distinct())
+        nnz, bottom, before = edges.count(), False, 0
+    for level in range(1, max_levels + 2):
+        visited = (tree.last(2) if symmetric and not single_child and not direction_optimising else tree.all()).select("vertex")
         if direction_optimising:
-            fringe = frontier.count()
             out = edges.join(frontier.select(F.col("vertex").alias("f")), F.col("src") == F.col("f"), "left_semi").count()
             bottom = out > nnz / 20 and fringe > before if not bottom else fringe >= n * n / (12 * max(nnz, 1))
             before = fringe
-            if bottom:
-                found = bottom_up_step(edges, frontier, vertices.join(visited, "vertex", "left_anti"))
-            else:
-                found = expand_frontier(edges, frontier, pick)
+        if direction_optimising and bottom:
+            found = bottom_up_step(edges, frontier, vertices.join(visited, "vertex", "left_anti"))
         else:
             found = expand_frontier(edges, frontier, pick)
         new = found.join(visited, "vertex", "left_anti")
         if single_child:
             new = new.groupBy("parent").agg(F.min("vertex").alias("vertex")).select("vertex", "parent")
-        new = cut(new.select("vertex", "parent", F.lit(level).cast("long").alias("level")))
-        if new.isEmpty():
-            break
-        levels.append(new)
-    return reduce(DataFrame.unionAll, levels)
+        frontier, fringe = tree.add(new.select("vertex", "parent", F.lit(level).cast("long").alias("level")))
+        if not fringe:
+            return tree.all()
+    raise RuntimeError(f"vertices beyond {max_levels} levels")
 
 
 def random_parent(seed: int):
@@ -99,8 +93,8 @@ def bfs_peel(edges: DataFrame, n: int) -> tuple[list[int], DataFrame]:
 def connected_components(edges: DataFrame, method: str = "auto", doubling: bool = True, prune_stable: bool = True, bfs_runs: int = 1, symmetric: bool = False) -> DataFrame:
     """(vertex, component): component is its smallest vertex.
 
-    method: 'star', 'label', 'hybrid' (bfs_runs searches, then stars on what is left) or 'auto': one search first where the
-    degree distribution follows a power law (Kolmogorov-Smirnov D < 0.05), stars alone otherwise. Directed edges give
+    method: 'contract', 'label', 'hybrid' (bfs_runs searches, then contraction of what is left) or 'auto': one search first where the
+    degree distribution follows a power law (Kolmogorov-Smirnov D < 0.05), contraction alone otherwise. Directed edges give
     the weakly connected components.
     """
     both = edges.select("src", "dst") if symmetric else symmetrise(edges)
@@ -108,9 +102,9 @@ def connected_components(edges: DataFrame, method: str = "auto", doubling: bool
         return label_components(both, doubling, prune_stable)
     if method == "auto":
         both = cut(both)
-        method = "hybrid" if degree_ks(both) < 0.05 else "star"
-    if method == "star":
-        return star_components(both)
+        method = "hybrid" if degree_ks(both) < 0.05 else "contract"
+    if method == "contract":
+        return contract_components(both)
     if method != "hybrid":
         raise ValueError(f"no method {method}")
     left, parts = cut(both), []
@@ -121,7 +115,7 @@ def connected_components(edges: DataFrame, method: str = "auto", doubling: bool
         tree = cut(bfs_tree(left, root, symmetric=True).select("vertex"))
         parts.append(tree.select("vertex", F.lit(root).cast("long").alias("component")))
         left = cut(drop_visited(left, tree))
-    return reduce(DataFrame.unionAll, [*parts, star_components(left)])
+    return reduce(DataFrame.unionAll, [*parts, contract_components(left)])
 
 
 #: Codes of the verifier.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators import matrix as M
-from meshwork.operators.components import star_components
+from meshwork.operators.components import contract_components
 from meshwork.session import cut
 
 
@@ -65,5 +65,5 @@ def markov_clustering(a: DataFrame, inflation: float = 2.0, prune_below: float =
         if chaos <= epsilon:
             break
         a = cut(a)
-    cc = star_components(a.select(F.col("row").alias("src"), F.col("col").alias("dst")))
+    cc = contract_components(a.select(F.col("row").alias("src"), F.col("col").alias("dst")))
     return cc.select("vertex", F.col("component").alias("cluster"))

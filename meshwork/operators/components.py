@@ -1,4 +1,4 @@
-"""Connected components: star contraction, label propagation with pointer doubling, breadth-first peeling.
+"""Connected components: randomised contraction, label propagation with pointer doubling, breadth-first peeling.
 
 Every method returns (vertex, component), the component being its smallest vertex id.
 A vertex is known only through an edge; a self-loop makes a component of one vertex.
@@ -6,10 +6,18 @@ A vertex is known only through an edge; a self-loop makes a component of one ver
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.session import cut
+from meshwork.session import Growing, cut, cut_counted, release
+
+
+#: Edges, of 16 bytes, that one task labels.
+AT_HAND = 1 << 16
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -18,82 +26,108 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Count and an order-free hash: two equal marks mean that the round changed nothing."""
-    h = F.xxhash64("src", "dst")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+def _order(turn: int, vertex: str) -> Column:
+    return F.xxhash64(F.lit(turn), vertex)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = symmetrise(edges)
-    # kept apart from the join: only a join of two plain shuffles lets a hub's neighbours be split over tasks
-    low = cut(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("low")))
-    return both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vertex, root) of the edges at hand: labels go down edges and are looked up through labels until nothing moves."""
+    src, dst = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True))
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    label = np.arange(len(names))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, np.concatenate([label[a], label[b]]), np.concatenate([low, low]))
+        while (label != label[label]).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["vertex", "root"])
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    low = cut(down.groupBy("src").agg(F.min("dst").alias("low")))
-    hooked = down.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
-    return hooked.union(low.select("src", F.col("low").alias("dst"))).distinct()
+def contract_components(edges: DataFrame, at_hand: int = AT_HAND, max_rounds: int = 500) -> DataFrame:
+    """Randomised contraction (Boegeholz, Brand and Todor 2020): every vertex hooks onto the least of its closed neighbourhood
+    in a random order, new in each round, and edges move to the ends' choices.
 
-
-def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Alternating large-star and small-star (Kiveris et al. 2014).
-
-    Each step is one partial-aggregated min and one equi-join on the same key, so that a hub's
-    neighbours may be split by the adaptive skew join; a round costs O(edges) and the number of
-    rounds grows with log of the vertices.
+    A round is one partially aggregated minimum and two equi-joins on unique keys, whose edge side the adaptive skew
+    join may split at a hub; vertices at least halve on paths and shrink faster elsewhere, so that all rounds together cost
+    about two of the first. The last at_hand edges or fewer, a megabyte, are labelled in one task, which saves the rounds that
+    have next to nothing to do; 0 leaves none to it. The choices are then composed from the last round back, and each component takes the name of its least vertex.
     """
-    clean = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
-    clean = cut(clean.distinct())
-    loops = clean.where("src = dst").select(F.col("src").alias("vertex"))
-    now = clean.where("src <> dst")
-    mark = None
-    for _ in range(max_rounds):
-        now = cut(_small_star(cut(_large_star(now))))
-        mark, before = _mark(now), mark
-        if mark[0] == 0 or mark == before:
+    ends = edges.select(F.greatest(F.col("src").cast("long"), F.col("dst").cast("long")).alias("src"), F.least(F.col("src").cast("long"), F.col("dst").cast("long")).alias("dst"), (F.col("src").isNotNull() & F.col("dst").isNotNull()).alias("whole"))
+    clean = cut(ends.where("whole").select("src", "dst"), n=F.count_if(F.col("src") != F.col("dst")), loops=F.count_if(F.col("src") == F.col("dst")))
+    now, n, hooks = clean.where("src <> dst"), clean.marks["n"], []
+    while n:
+        if len(hooks) == max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        turn = len(hooks)
+        if n <= at_hand:
+            hooks.append(cut(now.coalesce(1).mapInArrow(_finished, "vertex long, root long")))
             break
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    roots = now.select(F.col("dst").alias("vertex")).union(loops)
-    labels = now.select(F.col("src").alias("vertex"), F.col("dst").alias("component"))
-    return labels.union(roots.select("vertex", F.col("vertex").alias("component"))).groupBy("vertex").agg(F.min("component").alias("component"))
+        # hooks are kept apart from the joins: only a join of two plain shuffles lets a hub's edges be split over tasks
+        near = symmetrise(now).withColumn("h", _order(turn, "dst")).groupBy(F.col("src").alias("vertex")).agg(F.min("h").alias("h"), F.min_by("dst", "h").alias("to"))
+        hook = cut(near.select("vertex", F.when(_order(turn, "vertex") <= F.col("h"), F.col("vertex")).otherwise(F.col("to")).alias("root")))
+        hooks.append(hook)
+        a, b = hook.select(F.col("vertex").alias("va"), F.col("root").alias("a")), hook.select(F.col("vertex").alias("vb"), F.col("root").alias("b"))
+        moved = now.join(a, F.col("src") == F.col("va")).join(b, F.col("dst") == F.col("vb")).where("a <> b")
+        after, n = cut_counted(moved.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+        if turn:
+            release(now)
+        now = after
+    empty = edges.sparkSession.createDataFrame([], "vertex long, root long")
+    labels = hooks[-1] if hooks else empty
+    for k, hook in enumerate(reversed(hooks[:-1]), 1):
+        up = labels.select(F.col("vertex").alias("v"), F.col("root").alias("top"))
+        labels = hook.join(up, F.col("root") == F.col("v"), "left").select("vertex", F.coalesce("top", "root").alias("root"))
+        if k % 4 == 0:
+            labels = cut(labels)
+    labels = cut(labels)
+    least = cut(labels.groupBy(F.col("root").alias("r")).agg(F.min("vertex").alias("component")))
+    named = labels.join(least, F.col("root") == F.col("r")).select("vertex", "component")
+    if clean.marks["loops"]:
+        alone = clean.where("src = dst").select(F.col("src").alias("vertex")).distinct().join(labels, "vertex", "left_anti")
+        named = named.unionAll(alone.select("vertex", F.col("vertex").alias("component")))
+    return named
 
 
 def label_components(edges: DataFrame, doubling: bool = True, prune_stable: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """Min-label propagation; doubling looks labels up through labels, prune_stable freezes finished components.
 
-    A component is finished when no edge joins two labels and every label is a root; its rows then
-    leave the working set, which shrinks round by round.
+    A component is finished when no edge joins two labels and every label is a root; its rows then leave the
+    working set. That pass over the edges is made in rounds that moved less than a quarter of the labels.
     """
+    spark = edges.sparkSession
     e = cut(symmetrise(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")).distinct())
     labels = cut(e.groupBy(F.col("src").alias("vertex")).agg(F.least(F.col("vertex"), F.min("dst")).alias("component")))
-    frozen: list[DataFrame] = []
+    done = Growing(spark, "vertex long, component long")
     for _ in range(max_rounds):
-        heard = e.join(labels, e.src == labels.vertex).groupBy(F.col("dst").alias("vertex")).agg(F.min("component").alias("heard"))
-        step = labels.join(heard, "vertex", "left").select("vertex", "component", F.least("component", "heard").alias("next"))
+        step = label_step(e, labels)
         if doubling:
             step = cut(step)
-            up = step.select(F.col("vertex").alias("at"), F.col("next").alias("above"))
-            step = step.join(up, step.next == up.at, "left").select("vertex", "component", F.least("next", "above").alias("next"))
-        step = cut(step)
-        if step.where("next <> component").isEmpty():
-            frozen.append(step.select("vertex", F.col("next").alias("component")))
-            break
+            step = parent_step(step)
+        step = cut(step, n=F.count(F.lit(1)), moved=F.count_if(F.col("next") != F.col("component")))
+        n, moved = step.marks["n"], step.marks["moved"]
         labels = step.select("vertex", F.col("next").alias("component"))
-        if prune_stable:
+        if not moved:
+            done.add(labels)
+            return done.all()
+        if prune_stable and 4 * moved < n:
             live = step.where("next <> component").select(F.col("next").alias("component"))
             at = labels.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
             torn = e.join(at, e.src == at.v).select("dst", F.col("c").alias("c1")).join(at, F.col("dst") == at.v).where("c1 <> c")
-            live = live.union(torn.select("c1")).union(torn.select("c")).distinct()
-            frozen.append(cut(labels.join(live, "component", "left_anti").select("vertex", "component")))
+            live = cut(live.union(torn.select("c1")).union(torn.select("c")).distinct())
+            done.add(labels.join(live, "component", "left_anti").select("vertex", "component"))
             labels = cut(labels.join(live, "component", "left_semi").select("vertex", "component"))
             e = cut(e.join(labels.select(F.col("vertex").alias("src")), "src", "left_semi"))
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    out = frozen[0]
-    for part in frozen[1:]:
-        out = out.union(part)
-    return out
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def label_step(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vertex, component, next) of labels (vertex, component): next is the least label of a vertex and its neighbours."""
+    heard = edges.join(labels, edges.src == labels.vertex).groupBy(F.col("dst").alias("vertex")).agg(F.min("component").alias("heard"))
+    return labels.join(heard, "vertex", "left").select("vertex", "component", F.least("component", "heard").alias("next"))
+
+
+def parent_step(step: DataFrame) -> DataFrame:
+    """step (vertex, component, next) with next looked up through itself: the label of the vertex that names the label."""
+    up = step.select(F.col("vertex").alias("at"), F.col("next").alias("above"))
+    return step.join(up, step.next == up.at, "left").select("vertex", "component", F.least("next", "above").alias("next"))

@@ -100,7 +100,7 @@ t(v, l) USING KEY (v) AS (SELECT {root} AS v, cast(0 AS bigint) AS l UNION
 
 # connected components: GA-1, GA-2, GA-3, GA-4, GA-6, AG-3, AG-4, AG-5
 for _name in EDGES:
-    q(f"cc_{_name}", lambda g: bfs.connected_components(g, "star"), e(_name), sql=_cc(_name) + "SELECT v AS vertex, l AS component FROM cc")
+    q(f"cc_{_name}", lambda g: bfs.connected_components(g, "contract"), e(_name), sql=_cc(_name) + "SELECT v AS vertex, l AS component FROM cc")
 _CC = _cc("order_part") + "SELECT v AS vertex, l AS component FROM cc"
 for _name, _args in {
     "cc_label_doubling": {"method": "label"},
@@ -111,11 +111,11 @@ for _name, _args in {
 }.items():
     q(_name, lambda g, a=_args: bfs.connected_components(g, **a), e("order_part"), sql=_CC)
 q("cc_hybrid_giant", lambda g: bfs.connected_components(g, "hybrid"), e("part_supplier"), sql=_cc("part_supplier") + "SELECT v AS vertex, l AS component FROM cc")
-q("cc_count", lambda g: edges.component_count(components.star_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT count(DISTINCT l) AS n FROM cc")
-q("cc_sizes", lambda g: edges.component_sizes(components.star_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT l AS component, count(*) AS n FROM cc GROUP BY l")
-q("cc_size_histogram", lambda g: edges.component_sizes(components.star_components(g)).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("n")), e("order_part"), sql=_cc("order_part") + "SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM cc GROUP BY l) GROUP BY size")
-q("cc_largest_vertices", lambda g: edges.component_sizes(components.star_components(g)).agg(F.max("n").alias("n")), e("order_part_dense"), sql=_cc("order_part_dense") + "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM cc GROUP BY l)")
-q("cc_largest_edges", lambda g: edges.largest_component_edges(components.star_components(g), components.symmetrise(g)), e("order_part"), sql=_cc("order_part") + f"SELECT max(n) AS n FROM (SELECT count(*) // 2 AS n FROM {_sym('order_part')} s JOIN cc ON s.src = cc.v GROUP BY cc.l)")
+q("cc_count", lambda g: edges.component_count(components.contract_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT count(DISTINCT l) AS n FROM cc")
+q("cc_sizes", lambda g: edges.component_sizes(components.contract_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT l AS component, count(*) AS n FROM cc GROUP BY l")
+q("cc_size_histogram", lambda g: edges.component_sizes(components.contract_components(g)).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("n")), e("order_part"), sql=_cc("order_part") + "SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM cc GROUP BY l) GROUP BY size")
+q("cc_largest_vertices", lambda g: edges.component_sizes(components.contract_components(g)).agg(F.max("n").alias("n")), e("order_part_dense"), sql=_cc("order_part_dense") + "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM cc GROUP BY l)")
+q("cc_largest_edges", lambda g: edges.largest_component_edges(components.contract_components(g), components.symmetrise(g)), e("order_part"), sql=_cc("order_part") + f"SELECT max(n) AS n FROM (SELECT count(*) // 2 AS n FROM {_sym('order_part')} s JOIN cc ON s.src = cc.v GROUP BY cc.l)")
 
 # searches: GA-2, GA-7..10, GA-20, JN-1, JN-2, AG-5
 _MIN = "(SELECT min(x) FROM (SELECT src AS x FROM {%s} UNION ALL SELECT dst FROM {%s}))"
@@ -441,9 +441,9 @@ def _debruijn(s: SparkSession, d: str) -> DataFrame:
 _READ = "(SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 query("debruijn_counts", _debruijn, f"WITH k AS (SELECT substr(s, i, 31) AS a, substr(s, i + 1, 31) AS b FROM (SELECT s, unnest(range(1, greatest(length(s) - 30, 1))) AS i FROM {_READ} WHERE length(s) > 31)) SELECT 2 * (SELECT count(*) FROM k) AS n_edges, (SELECT count(*) FROM (SELECT DISTINCT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k))) AS n_vertices")
 for _end, _table in {"": "benchmark", "_whole": "documents"}.items():
-    query(f"cc_debruijn{_end}", lambda s, d, t=_table: edges.component_sizes(components.star_components(readers.kmer_edges(_reads(s, d, t), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")))
+    query(f"cc_debruijn{_end}", lambda s, d, t=_table: edges.component_sizes(components.contract_components(readers.kmer_edges(_reads(s, d, t), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")))
 query("chain", lambda s, d: generators.chain(s, 1000), "SELECT i AS src, i + 1 AS dst FROM (SELECT unnest(range(999)) AS i) UNION ALL SELECT i + 1, i FROM (SELECT unnest(range(999)) AS i)")
-query("cc_chain", lambda s, d: edges.component_sizes(components.star_components(generators.chain(s, 5000))), "SELECT 0::bigint AS component, 5000::bigint AS n")
+query("cc_chain", lambda s, d: edges.component_sizes(components.contract_components(generators.chain(s, 5000))), "SELECT 0::bigint AS component, 5000::bigint AS n")
 query("kronecker_counts", lambda s, d: generators.kronecker(s, 12, 16).agg(F.count(F.lit(1)).alias("n"), (F.max("src") < 4096).alias("in_range")), "SELECT cast(2 * 16 * 4096 AS bigint) AS n, true AS in_range")
 query("kronecker", lambda s, d: edges.degree_distribution(generators.kronecker(s, 12, 16)))
 query("uniform_random_counts", lambda s, d: generators.kronecker(s, 10, 8, (0.25, 0.25, 0.25, 0.25)).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("src") > 1000).alias("spread")), "SELECT cast(2 * 8 * 1024 AS bigint) AS n, true AS spread")

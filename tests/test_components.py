@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import bfs, edges
-from meshwork.operators.components import symmetrise
+from meshwork.operators.components import contract_components, symmetrise
+from meshwork.session import Growing, cut, release
 
 THREE = [(2, 11), (2, 3), (2, 4), (3, 4), (5, 6), (5, 8), (6, 10), (6, 8), (50, 51), (51, 52)]
-METHODS = [{"method": "star"}, {"method": "label"}, {"method": "label", "doubling": False}, {"method": "label", "prune_stable": False}, {"method": "hybrid", "bfs_runs": 2}, {"method": "auto"}]
+METHODS = [{"method": "contract"}, {"method": "label"}, {"method": "label", "doubling": False}, {"method": "label", "prune_stable": False}, {"method": "hybrid", "bfs_runs": 2}, {"method": "auto"}]
 
 
 def frame(spark, pairs):
@@ -42,16 +43,59 @@ def test_three_components(spark, kw):
     assert got == union_find(THREE) and set(got.values()) == {2, 5, 50}
 
 
-@pytest.mark.parametrize("method", ["star", "label"])
+@pytest.mark.parametrize("method", ["contract", "label"])
 def test_shuffled_chain(spark, method):
     pairs = [(i, i + 1) for i in range(1, 1000)]
     random.Random(1).shuffle(pairs)
     assert labels(bfs.connected_components(frame(spark, pairs), method)) == dict.fromkeys(range(1, 1001), 1)
 
 
+def test_chain_of_many_rounds(spark):
+    """Size estimates end with the lineage, and contraction needs few rounds however long the chain."""
+    pairs = spark.range(99_999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    cc = contract_components(pairs, at_hand=0, max_rounds=40)
+    assert cc.where("component <> 0").isEmpty() and cc.count() == 100_000
+    with pytest.raises(RuntimeError):
+        contract_components(pairs, at_hand=0, max_rounds=3)
+
+
+def test_cut_ends_size_estimates(spark):
+    now = spark.range(1000).select(F.col("id").alias("a"))
+    sizes = []
+    for _ in range(15):
+        now = cut(now.join(now.select(F.col("a").alias("b")), F.col("a") == F.col("b")).select("a"))
+        sizes.append(int(now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert max(sizes) < 10 * sizes[0]
+
+
+def test_cut_marks_release_and_growing(spark):
+    kept = cut(spark.range(10), n=F.count(F.lit(1)), top=F.max("id"))
+    assert kept.marks == {"n": 10, "top": 9} and kept.count() == 10
+    release(kept)
+    with pytest.raises(Exception, match="(?i)not exist"):
+        spark.read.parquet(kept.folder)
+    grows = Growing(spark, "id long")
+    assert [grows.add(spark.range(k))[1] for k in (3, 0, 4)] == [3, 0, 4]
+    assert grows.all().count() == 7 and grows.last(1).count() == 4 and grows.last(2).count() == 4
+
+
+def test_contraction_to_the_last_edge_and_at_hand_agree(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randint(-900, 900), rng.randint(-900, 900)) for _ in range(900)]
+    for at_hand in (0, 100, 1 << 16):
+        assert labels(contract_components(frame(spark, pairs), at_hand)) == union_find(pairs)
+
+
+def test_levels_beyond_the_most_are_an_error(spark):
+    both = symmetrise(frame(spark, [(i, i + 1) for i in range(6)]))
+    assert bfs.bfs_tree(both, 0, max_levels=6).count() == 7
+    with pytest.raises(RuntimeError):
+        bfs.bfs_tree(both, 0, max_levels=5)
+
+
 def test_medium_three_components(spark):
     pairs = THREE[:8] + [(i, i + 1) for i in range(50, 1000)]
-    cc = bfs.connected_components(frame(spark, pairs), "star")
+    cc = bfs.connected_components(frame(spark, pairs), "contract")
     assert set(labels(cc).values()) == {2, 5, 50} and edges.component_count(cc).first().n == 3
 
 
@@ -60,7 +104,7 @@ def test_random_graph_with_loops_repeats_and_nulls(spark):
     pairs = [(rng.randint(-200, 200), rng.randint(-200, 200)) for _ in range(230)]
     pairs += pairs[:20] + [(900, 900)]
     df = frame(spark, [*pairs, (None, 3), (4, None)])
-    for method in ("star", "label"):
+    for method in ("contract", "label"):
         assert labels(bfs.connected_components(df, method)) == union_find(pairs)
 
 
@@ -71,7 +115,7 @@ def test_empty(spark):
 
 def test_hub(spark):
     pairs = [(0, i) for i in range(1, 3000)]
-    assert Counter(labels(bfs.connected_components(frame(spark, pairs), "star")).values()) == {0: 3000}
+    assert Counter(labels(bfs.connected_components(frame(spark, pairs), "contract")).values()) == {0: 3000}
 
 
 def chains(p):
