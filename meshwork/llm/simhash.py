@@ -9,12 +9,17 @@ fingerprints in A, B, C, at most 4 together. Each case has a key on which both a
 * a >= 3, hence b + c <= 1: (B, gC) or (gB, C);
 * b >= 3, hence a + c <= 1: (A, gC) or (gA, C).
 
-A fingerprint has about 110 keys of 30 to 35 bits, so that unrelated ones seldom meet: the rows that share a
-key with another fingerprint follow the near copies, not the square of the input. Keys that hold one
-fingerprint are dropped by a partial aggregate before anything is joined.
-Inside a key nothing is paired with everything:
-members are first linked to the key's smallest fingerprint, which joins a group of near copies in a
-linear number of rows; only then are members of one key whose components still differ compared.
+A fingerprint has about 110 keys of 30 to 35 bits, so that unrelated ones seldom meet. The cases are taken in ROUNDS,
+those of few keys first: near copies mostly meet there, and the many keys of the later ones matter only where they
+hold fingerprints of different components. In a round
+
+1. a partial aggregate finds the keys that hold several components, and the smallest fingerprint of each (its hub);
+2. all other members are compared with their hub, a number of pairs that is linear in the group; what is near is merged;
+3. keys whose other members are still in several components are torn. Of these only members outside the component
+   that has most of the key are taken, and compared with the members of other components with which they agree in
+   one of five parts of the fingerprint, as two at most 4 bits apart must. An outlier in a group of n near copies costs
+   n comparisons at most; two members of the largest component never meet.
+
 No bucket is capped and no link between components is lost.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like
@@ -29,16 +34,17 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm import golay
-from meshwork.operators.components import star_components
+from meshwork.operators.components import contract_components
 from meshwork.session import cut
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 BLOCK = 1 << 15
+#: The key cases in the order in which they are taken, those of few keys first.
+ROUNDS = ((3, 4, 9, 10, 11, 12), (1, 2, 5, 6, 7, 8))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -59,91 +65,112 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * votes > len(first), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. One pass, no shuffle, a document at a time."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns also): fp holds the 64 bits as a signed long. One pass, no shuffle, a document at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *also).mapInArrow(run, schema)
 
 
-def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row number) of all keys of signed fingerprints; the case is in a key's top bits."""
+def key_rows(fp: np.ndarray, cases: tuple[int, ...] = tuple(range(1, 13))) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row number) of the cases' keys of signed fingerprints; the case is in a key's top bits."""
     u = fp.view(np.uint64)
     a, b, c = (u & 0x7FFFFF).astype(np.int64), (u >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64), (u >> np.uint64(46)).astype(np.int64)
     (ka, na), (kb, nb), (kc, nc) = golay.keys(a), golay.keys(b), golay.keys(c)
     six = np.arange(6)
     ua, ub, uc = (six < n[:, None] for n in (na, nb, nc))
-    parts = []
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
     def add(case: int, key: np.ndarray, use: np.ndarray) -> None:
         rows = np.broadcast_to(np.arange(len(fp)).reshape(-1, *[1] * (use.ndim - 1)), use.shape)[use]
         parts.append((np.broadcast_to(key, use.shape)[use] | case << 48, rows))
 
-    pair, both = ka[:, :, None] << 12 | kb[:, None, :], ua[:, :, None] & ub[:, None, :]
-    add(1, pair << 9 | (c & 0x1FF)[:, None, None], both)
-    add(2, pair << 9 | (c >> 9)[:, None, None], both)
-    add(3, a[:, None] << 12 | kb, ub)
-    add(4, ka << 23 | b[:, None], ua)
+    if 1 in cases or 2 in cases:
+        pair, both = ka[:, :, None] << 12 | kb[:, None, :], ua[:, :, None] & ub[:, None, :]
     halves = ((a & 0xFFF, b & 0xFFF), (a & 0xFFF, b >> 12), (a >> 12, b & 0xFFF), (a >> 12, b >> 12))
-    for case, (x, y) in enumerate(halves, 5):
-        add(case, (x << 12 | y)[:, None] << 12 | kc, uc)
-    add(9, b[:, None] << 12 | kc, uc)
-    add(10, kb << 18 | c[:, None], ub)
-    add(11, a[:, None] << 12 | kc, uc)
-    add(12, ka << 18 | c[:, None], ua)
+    for case in cases:
+        match case:
+            case 1:
+                add(1, pair << 9 | (c & 0x1FF)[:, None, None], both)
+            case 2:
+                add(2, pair << 9 | (c >> 9)[:, None, None], both)
+            case 3:
+                add(3, a[:, None] << 12 | kb, ub)
+            case 4:
+                add(4, ka << 23 | b[:, None], ua)
+            case 5 | 6 | 7 | 8:
+                x, y = halves[case - 5]
+                add(case, (x << 12 | y)[:, None] << 12 | kc, uc)
+            case 9:
+                add(9, b[:, None] << 12 | kc, uc)
+            case 10:
+                add(10, kb << 18 | c[:, None], ub)
+            case 11:
+                add(11, a[:, None] << 12 | kc, uc)
+            case 12:
+                add(12, ka << 18 | c[:, None], ua)
     return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(key, fp) for nodes (fp)."""
+def _keys(nodes: DataFrame, cases: tuple[int, ...]) -> DataFrame:
+    """(key, fp, comp) for nodes (fp, comp); a comp that is fp itself is null, for the shuffle's sake."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
+            fps, comps = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, len(fps), 1000):
-                part = fps[at : at + 1000]
-                key, row = key_rows(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
+                part, comp = fps[at : at + 1000], comps[at : at + 1000]
+                key, row = key_rows(part, cases)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(comp[row], mask=(comp == part)[row])], ["key", "fp", "comp"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+    return nodes.select("fp", "comp").mapInArrow(run, "key long, fp long, comp long")
 
 
-def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, fp) of the keys that two or more fingerprints have."""
-    rows = _keys(nodes)
-    several = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(several, "key", "left_semi")
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def _apart(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def met(nodes: DataFrame, cases: tuple[int, ...], distance: int) -> DataFrame:
+    """(key, fp, comp, hub_comp, near): members of keys that hold several components, all but the hub; near: the hub is.
 
-
-def _torn(rows: DataFrame) -> DataFrame:
-    """Keys whose members are still in several components, and the smallest member of each."""
-    return rows.groupBy("key").agg(F.min(F.struct("fp", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+    Of keys with two members only those that are near and of different components: with the hub compared they are done.
+    """
+    own = F.coalesce("comp", "fp")
+    per = _keys(nodes, cases).groupBy("key").agg(F.min("fp").alias("hub"), F.min_by(own, F.col("fp")).alias("hub_comp"), F.min(own).alias("lo"), F.max(own).alias("hi"), F.count(F.lit(1)).alias("n"))
+    hubs = cut(per.where("lo <> hi").select("key", "hub", "hub_comp", (F.col("n") > 2).alias("more")))
+    links = _near("fp", "hub", distance) & (own != F.col("hub_comp"))
+    rows = _keys(nodes, cases).join(hubs.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("fp") != F.col("hub")) & (F.col("more") | links))
+    return rows.select("key", "fp", own.alias("comp"), "hub_comp", links.alias("near"), "more")
 
 
-def _hub_links(rows: DataFrame, distance: int) -> DataFrame:
-    """Links of members (key, fp, comp) to the smallest fingerprint of their key."""
-    near = rows.join(_torn(rows), "key").where((F.col("comp") != F.col("hub_comp")) & (_apart("fp", "hub") <= distance))
-    return near.select(F.col("comp").alias("src"), F.col("hub_comp").alias("dst")).distinct()
+def _parts(fp: Column, of: int = 5) -> Column:
+    """The bits of a fingerprint dealt to so many parts, each with its number: two at most 4 bits apart agree in one of 5."""
+    masks = [sum(1 << bit for bit in range(k, 64, of)) for k in range(of)]
+    return F.array(*(F.struct(F.lit(k).alias("part"), fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits")) for k, m in enumerate(masks)))
 
 
-def _cross_links(rows: DataFrame, distance: int) -> DataFrame:
-    """All links that are left between components: compared inside the keys that hold several."""
-    rows = cut(rows.join(_torn(rows).select("key"), "key", "left_semi"))
-    a, b = rows.select("key", "fp", "comp"), rows.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
-    return a.join(b, "key").where((F.col("comp") < F.col("comp2")) & (_apart("fp", "fp2") <= distance)).select(F.col("comp").alias("src"), F.col("comp2").alias("dst")).distinct()
+def torn_pairs(rows: DataFrame) -> DataFrame:
+    """(fp, comp, fp2, comp2): what is left to compare of rows (key, fp, comp): pairs of different components in one key that
+    agree in one part of the fingerprint, at least one of the two outside the component that has most members in the key."""
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    torn = cut(per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "most"))
+    held = rows.join(torn, F.col("key") == F.col("k")).select("key", "fp", "comp", "most", F.explode(_parts(F.col("fp"))).alias("p")).select("key", "fp", "comp", "most", "p.part", "p.bits")
+    a = held.where("comp <> most").select("key", "part", "bits", "fp", "comp")
+    b = held.select("key", "part", "bits", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("most")).alias("main"))
+    return a.join(b, ["key", "part", "bits"]).where("main or comp < comp2").select("fp", "comp", "fp2", "comp2")
 
 
 def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (fp, comp) with comp replaced by the smallest comp that the links reach."""
-    to = star_components(links).where("vertex <> component")
+    """nodes (fp, comp) with comp replaced by the smallest comp that the links (src, dst) reach."""
+    links = cut(links.distinct(), n=F.count(F.lit(1)))
+    if not links.marks["n"]:
+        return nodes
+    to = contract_components(links).where("vertex <> component")
     return cut(nodes.join(to, nodes.comp == to.vertex, "left").select("fp", F.coalesce("component", "comp").alias("comp")))
 
 
@@ -152,11 +179,13 @@ def components(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= 4:
         raise ValueError("the key cases cover distances up to 4")
     nodes = cut(fps.select("fp", F.col("fp").alias("comp")).distinct())
-    shared = cut(shared_keys(nodes))
-    for links in (_hub_links, _cross_links):
-        found = cut(links(shared.join(nodes, "fp"), distance))
-        if not found.isEmpty():
-            nodes = _merge(nodes, found)
+    for cases in ROUNDS:
+        rows = cut(met(nodes, cases, distance), left=F.count_if("more"))
+        nodes = _merge(nodes, rows.where("near").select(F.col("comp").alias("src"), F.col("hub_comp").alias("dst")))
+        if rows.marks["left"]:
+            left = rows.where("more").select("key", "fp").join(nodes.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select("key", "fp", "comp")
+            pairs = torn_pairs(cut(left)).where(_near("fp", "fp2", distance))
+            nodes = _merge(nodes, pairs.select(F.col("comp").alias("src"), F.col("comp2").alias("dst")))
     return nodes
 
 
@@ -173,13 +202,24 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; of rows that repeat that id, one.
+    """docs with one row of each component: that of least doc_id (null: last), then of least hash over its columns.
 
-    Rows without a doc_id can't be named by a component: they all stay.
+    Every row takes part, those without a doc_id too. A row is known by its doc_id and hash; who stays is found among
+    these and the fingerprints, and texts move once, to the join with the answer. Rows that agree in both are copies of
+    one row, of which one stays: only such rows are grouped, after a partial aggregate.
     """
-    near = near_duplicates(docs.where("doc_id is not null"), distance)
-    stay = near.select(F.col("component_id").alias("__mw_id")).distinct()
-    left = docs.join(stay, F.col("doc_id").cast("long") == F.col("__mw_id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    left = left.withColumn("__mw_nth", first).where("__mw_nth = 1").drop("__mw_nth")
-    return left.select(*docs.columns).union(docs.where("doc_id is null"))
+    names = docs.columns
+    plain = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    stamped = docs.withColumns({"__mw_id": F.col("doc_id").cast("long"), "__mw_h": F.xxhash64(*(F.col(f"`{c}`") for c in plain))})
+    seen = cut(fingerprints(stamped, also=("__mw_h",)))
+    nodes = components(seen, distance)
+    row = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("__mw_h").alias("h"), F.col("m").alias("m"))
+    # by fingerprint first, then by component: both minima combine before they are shuffled
+    least = seen.groupBy("doc_id", "fp", "__mw_h").agg(F.count(F.lit(1)).alias("m")).groupBy("fp").agg(F.min(row).alias("row"))
+    stay = nodes.withColumnRenamed("fp", "node").join(least, F.col("node") == F.col("fp")).groupBy("comp").agg(F.min("row").alias("row"))
+    stay = cut(stay.select(F.col("row.id").alias("__mw_stay"), F.col("row.h").alias("__mw_stay_h"), F.col("row.m").alias("__mw_m")), many=F.count_if(F.col("__mw_m") > 1))
+    same = F.col("__mw_id").eqNullSafe(F.col("__mw_stay")) & (F.col("__mw_h") == F.col("__mw_stay_h"))
+    left = stamped.join(stay.where("__mw_m = 1"), same, "left_semi").select(*names)
+    if stay.marks["many"]:
+        left = left.unionAll(stamped.join(stay.where("__mw_m > 1"), same, "left_semi").dropDuplicates(["__mw_id", "__mw_h"]).select(*names))
+    return left

@@ -111,6 +111,42 @@ def test_one_dense_ball_is_one_component(spark):
     assert simhash.components(df).select("comp").distinct().count() == 1
 
 
+def signed(f):
+    return f - 2**64 if f >> 63 else f
+
+
+def test_an_outlier_in_a_dense_group_costs_a_line_not_a_square(spark):
+    """One torn key of n members of one component and one outlier: n pairs at most; components as all pairs give them."""
+    rows = lambda n: spark.range(n).selectExpr("1L key", "id * 7919 fp", "0L comp").unionAll(spark.sql("select 1L key, 3L fp, 5L comp"))
+    for n in (200, 800):
+        assert 0 < simhash.torn_pairs(rows(n)).count() <= 5 * n
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 2**63))
+    for spread in (1, 4, 8):
+        fps = {0: base}
+        for i in range(1, 400):
+            f = base
+            for b in rng.choice(64, int(rng.integers(1, spread + 1)), replace=False):
+                f ^= 1 << int(b)
+            fps[i] = f
+        df = spark.createDataFrame([(i, signed(f)) for i, f in fps.items()], "doc_id long, fp long")
+        got = {r.fp: r.comp for r in simhash.components(df).collect()}
+        want = classes(fps)
+        groups = lambda of: {frozenset(i for i in fps if of(i) == c) for c in {of(i) for i in fps}}
+        assert groups(lambda i: got[signed(fps[i])]) == groups(want.get)
+
+
+def test_dedup_loses_no_text(spark):
+    """Two unrelated texts under one doc_id both stay; copies without a doc_id are copies; identical rows leave one."""
+    d = "doc_id long, text string, tags map<string,string>"
+    rows = [(3, "alpha beta gamma delta epsilon", None), (3, "one two three four five six", None), (None, "one two three four five six", None)]
+    rows += [(None, "zeta eta theta iota kappa", None), (None, "zeta eta theta iota kappa", {"a": "b"})] + [(9, "lambda mu nu xi omicron pi", None)] * 3
+    rows += [(4, "alpha beta gamma delta epsilon", None)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, d))
+    assert sorted((r.doc_id or -1, r.text[:4]) for r in kept.collect()) == [(-1, "zeta"), (3, "alph"), (3, "one "), (9, "lamb")]
+    assert simhash.one_of_each(spark.createDataFrame([], d)).count() == 0
+
+
 def test_nulls_repeats_empty_and_extra_columns(spark):
     d = "doc_id long, text string, fp string, key int"
     rows = [(None, "q w e r t", "x", 1), (None, "other words are here now", "x", 2), (7, "same text of words", "x", 1), (7, "same text of words", "x", 1), (3, "same text of words", "y", 2)]
