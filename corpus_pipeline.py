@@ -1,13 +1,11 @@
 """A corpus pipeline: five stages, each one operator on all that the stage before it kept.
 
 All stages but the last return the columns of documents. Rows that two stages could disagree about keep
-their operator's defined results: null texts count as empty, rows without a doc_id all stay.
+their operator's defined results: null texts count as empty, rows without a doc_id are documents like any other.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm.mixing import mixed
@@ -16,7 +14,7 @@ from meshwork.llm.quality import keep_good
 from meshwork.llm.rules import kept_documents
 from meshwork.llm.simhash import one_of_each
 from meshwork.llm.text import table
-from meshwork.session import checkpoint_dir
+from meshwork.session import work_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest doc_id."""
+    """One document of each near-duplicate component, that of the smallest doc_id; every text is represented."""
     return one_of_each(docs)
 
 
@@ -57,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each stage's rows are written once, as Parquet in the shared folder, and read by the next."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), work_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
