@@ -6,8 +6,7 @@ Inside texts and roles every control string is broken up, so that it can't be re
 its first character, and each backslash is doubled. Both are one regular expression; one more undoes them.
 Control strings hold no backslash, hence a single backslash is always ours and the way back is exact.
 
-Escaping and hashing happen before the shuffle, row by row; the shuffle then only puts a conversation's
-segments in order. A conversation is one value of the result, so its turns meet in one row by contract (a row
+The shuffle only puts a conversation's turns in order, as they came; they are escaped after it. A conversation is one value of the result, so its turns meet in one row by contract (a row
 holds 2 GB at most).
 
 Defined results: null text or role counts as empty; unknown roles are formatted like any other, make the
@@ -84,13 +83,13 @@ def _machine(roles: Column, t: Template) -> Column:
 def format_chats(rows: DataFrame, t: Template = DEFAULT) -> DataFrame:
     """Per conversation of rows (conv_id, turn, role, text): conv_id, n_turns, formatted, segments (text, loss), valid, bad_turn."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), escaped(text, t).alias("text"))
+    turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
     chats = rows.select("conv_id", turn.alias("__mw_turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("__mw_turn")).alias("turns"))
     segment = lambda s, loss: F.struct(s.alias("text"), loss.alias("loss"))
 
     def emit(x: Column) -> Column:
         head = F.concat(F.lit(t.opened), escaped(x["role"], t), F.lit(t.closed))
-        return F.array(segment(head, F.lit(False)), segment(x["text"], x["role"].isin(*t.loss_roles)), segment(F.lit(t.tail), F.lit(False)))
+        return F.array(segment(head, F.lit(False)), segment(escaped(x["text"], t), x["role"].isin(*t.loss_roles)), segment(F.lit(t.tail), F.lit(False)))
 
     chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", emit)).alias("segments"), _machine(F.transform("turns", lambda x: x["role"]), t).alias("end"))
     return chats.select("conv_id", "n_turns", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", (F.col("end.bad").isNull() & F.col("end.state").isin(*t.accept)).alias("valid"), F.col("end.bad").alias("bad_turn"))

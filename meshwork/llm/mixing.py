@@ -5,9 +5,13 @@ target / size expected copies each: the whole part is certain, the fractional pa
 Two documents of sizes s and t with probabilities p and q trade mass so that s*p + t*q stays, until one of
 them is 0 or 1; which way the mass goes is random with the odds that keep every expected value. Documents meet
 in blocks of about BLOCK, dealt by a hash; a block's fold leaves one undecided document, and the undecided
-of BLOCK blocks meet in the next level of a reduction tree, up to one per source, which is rounded to the
-nearer side. The words taken of a source then miss its target by half a document at most; at the root of the
-tree documents already decided are turned over, the largest first, where that lessens the miss.
+of BLOCK blocks meet in the next level of a reduction tree, up to one per source. That one is taken with its
+probability. What this misses of the target is then traded once more, with a reserve of documents already decided, which
+blocks hand up the tree (RESERVE of a block, POOL at the root, the first by a hash that is blind to size): taken ones go where
+too many words are taken, others come where too few are. Either happens with the odds of the other's words, so that expected
+copies stay as they are where documents share one rate. Only where one of the two ways out misses the target by more than
+NEAR of it, the nearer way is taken: a source of few documents, one of which outweighs the rest, comes near its target, and
+that document's copies are then not random.
 
 Equal (source, doc_id, size) rows are one unit of m copies: of their expected total the whole part is certain
 and one row stays fractional, so that a hot document is a single row here. All randomness is a hash of the ids
@@ -19,6 +23,8 @@ a source of size 0 has target 0; an empty table gives an empty result; null doc_
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +33,7 @@ from meshwork.llm.text import word_count
 from meshwork.session import cut
 
 WEIGHTS, CAP, BLOCK, SEED = (1, 2, 3), 3, 128, 42
+RESERVE, POOL, NEAR = 256, 1024, 0.02
 #: Probabilities nearer than this to 0 or 1 are there: what is left of sums of doubles.
 EPS = 1e-9
 
@@ -88,11 +95,17 @@ def _fold(units: Column) -> Column:
     return F.aggregate(units, zero, pair)
 
 
-def _repaid(done: Column, left: Column) -> Column:
-    """The root's decided units and the last one rounded, some turned over to pay back what rounding it missed."""
-    rounded = F.struct(left["key"].alias("key"), left["size"].alias("size"), F.round(left["p"]).alias("p"))
-    miss = F.coalesce(left["size"] * (F.round(left["p"]) - left["p"]), F.lit(0.0))
-    by_size = F.array_sort(done, lambda a, b: F.when(a["size"] != b["size"], F.when(a["size"] > b["size"], -1).otherwise(1)).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+UNITS = "array<struct<key:bigint,size:bigint,p:double>>"
+
+
+def _by_hash(units: Column) -> Column:
+    """Units in the order of a hash, blind to size."""
+    placed = F.array_sort(F.transform(units, lambda u: F.struct(_hash(F.lit("turn"), u["key"]).alias("at"), u["key"].alias("key"), u["size"].alias("size"), u["p"].alias("p"))))
+    return F.transform(placed, lambda u: F.struct(u["key"].alias("key"), u["size"].alias("size"), u["p"].alias("p")))
+
+
+def _turned(pool: Column, miss: Column) -> Column:
+    """struct(miss, out): the pool with units turned over in order wherever that lessens the words missed."""
 
     def turn(acc: Column, u: Column) -> Column:
         after = acc["miss"] + F.when(u["p"] > 0.5, -u["size"]).otherwise(u["size"])
@@ -100,9 +113,20 @@ def _repaid(done: Column, left: Column) -> Column:
         new = F.struct(u["key"].alias("key"), u["size"].alias("size"), F.when(better, 1 - u["p"]).otherwise(u["p"]).alias("p"))
         return F.struct(F.when(better, after).otherwise(acc["miss"]).alias("miss"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    start = F.struct(miss.alias("miss"), F.array().cast("array<struct<key:bigint,size:bigint,p:double>>").alias("out"))
-    turned = F.aggregate(by_size, start, turn, lambda acc: acc["out"])
-    return F.when(left.isNull(), done).otherwise(F.concat(turned, F.array(rounded)))
+    return F.aggregate(pool, F.struct(miss.cast("double").alias("miss"), F.array().cast(UNITS).alias("out")), turn)
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(source, units): all decided units of rows (source, target, pool, left) at the roots of their trees."""
+    last = lambda p: F.array(F.struct(F.col("left.key").alias("key"), F.col("left.size").alias("size"), F.lit(p).alias("p")))
+    ways = rows.where("left is not null").select(
+        "source", "target", "left", F.slice("pool", POOL + 1, F.greatest(F.size("pool") - POOL, F.lit(1))).alias("rest"),
+        _turned(F.slice("pool", 1, POOL), F.col("left.size") * (1 - F.col("left.p"))).alias("up"), _turned(F.slice("pool", 1, POOL), -F.col("left.size") * F.col("left.p")).alias("down"),
+    )
+    near = F.greatest(F.abs(F.col("up.miss")), F.abs(F.col("down.miss"))) <= NEAR * F.col("target")
+    taken = F.when(near, _uniform(F.lit("root"), F.col("left.key")) < F.col("left.p")).otherwise(F.abs(F.col("up.miss")) < F.abs(F.col("down.miss")))
+    out = ways.select("source", F.concat("rest", F.when(taken, F.concat(F.col("up.out"), last(1.0))).otherwise(F.concat(F.col("down.out"), last(0.0)))).alias("units"))
+    return out.unionAll(rows.where("left is null").select("source", F.col("pool").alias("units")))
 
 
 def units(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -121,19 +145,22 @@ def units(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     unit = unit.withColumn("key", _hash("source", "doc_id", "size"))
     unit = cut(unit)
     most = aims.agg(F.max("n_units")).first()[0] or 0
-    open_ = unit.where(F.col("p") >= EPS).select("source", "key", "size", "p", F.ceil(F.col("n_units") / BLOCK).alias("blocks"))
+    open_ = unit.where(F.col("p") >= EPS).select("source", "target", "key", "size", "p", F.array().cast(UNITS).alias("reserve"), F.ceil(F.col("n_units") / BLOCK).alias("blocks"))
     decided: list[DataFrame] = []
     level = 0
     while True:
         block = F.pmod(_hash(F.lit(level), "key"), F.col("blocks"))
-        folded = open_.groupBy("source", "blocks", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("by"), "key", "size", "p"))).alias("units"))
-        folded = cut(folded.select("source", "blocks", _fold(F.transform("units", lambda u: F.struct(u["key"].alias("key"), u["size"].alias("size"), u["p"].alias("p")))).alias("f")))
+        folded = open_.groupBy("source", "target", "blocks", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("by"), "key", "size", "p", "reserve"))).alias("units"))
+        folded = folded.select("source", "target", "blocks", _fold(F.transform("units", lambda u: F.struct(u["key"].alias("key"), u["size"].alias("size"), u["p"].alias("p")))).alias("f"), F.flatten(F.transform("units", lambda u: u["reserve"])).alias("reserve"))
+        folded = cut(folded.select("source", "target", "blocks", F.col("f.left").alias("left"), _by_hash(F.concat("f.done", "reserve")).alias("pool")))
         # a source is at its root where one block holds it, whatever the size of others
-        done = F.when(F.col("blocks") == 1, _repaid(F.col("f.done"), F.col("f.left"))).otherwise(F.col("f.done"))
-        decided.append(folded.select("source", F.explode(done).alias("d")).select("source", "d.key", "d.p"))
+        decided.append(_rooted(folded.where("blocks = 1")).select("source", F.explode("units").alias("d")).select("source", "d.key", "d.p"))
+        inner = folded.where("blocks > 1")
+        held = F.when(F.col("left").isNull(), F.col("pool")).otherwise(F.slice("pool", RESERVE + 1, F.greatest(F.size("pool") - RESERVE, F.lit(1))))
+        decided.append(inner.select("source", F.explode(held).alias("d")).select("source", "d.key", "d.p"))
         if most <= BLOCK:
             break
-        open_ = folded.where("blocks > 1 and f.left is not null").select("source", "f.left.*", F.ceil(F.col("blocks") / BLOCK).alias("blocks"))
+        open_ = inner.where("left is not null").select("source", "target", "left.*", F.slice("pool", 1, RESERVE).alias("reserve"), F.ceil(F.col("blocks") / BLOCK).alias("blocks"))
         most = -(-most // BLOCK)
         level += 1
     up = decided[0]
@@ -158,15 +185,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it."""
+    """docs with each row repeated as often as the mix takes it.
+
+    A row is known by source, doc_id, size and a hash of its text. The copies of a unit of several rows are dealt to its
+    hashes by keys alone, so that texts move once, to the join with the answer; rows that agree in all four share
+    their copies, and one of them is repeated for all.
+    """
     names = docs.columns
-    sized = docs.withColumn("__mw_size", word_count(F.col("text")))
-    u = units(sized.select("source", "doc_id", F.col("__mw_size").alias("size")), weights, cap)
-    u = u.where("copies > 0").select(F.col("source").alias("__mw_source"), F.col("doc_id").alias("__mw_doc"), F.col("size").alias("__mw_usize"), "m", "copies")
-    u = u.select("__mw_source", "__mw_doc", "__mw_usize", F.col("m").alias("__mw_m"), F.col("copies").alias("__mw_copies"))
-    same = F.col("source").eqNullSafe(F.col("__mw_source")) & F.col("doc_id").eqNullSafe(F.col("__mw_doc")) & (F.col("__mw_size") == F.col("__mw_usize"))
-    rows = sized.join(u, same)
-    nth = F.row_number().over(W.partitionBy("source", "doc_id", "__mw_size").orderBy(F.xxhash64("text"))) - 1
-    whole = F.expr("__mw_copies div __mw_m")
-    n = whole + F.when(nth < F.col("__mw_copies") % F.col("__mw_m"), 1).otherwise(0)
-    return rows.withColumn("__mw_n", n.cast("int")).where("__mw_n > 0").select(*names, F.explode(F.array_repeat(F.lit(0), F.col("__mw_n"))).alias("__mw_copy")).select(*names)
+    sized = docs.withColumns({"__mw_size": word_count(F.col("text")), "__mw_h": F.xxhash64("text")})
+    u = units(sized.select("source", "doc_id", F.col("__mw_size").alias("size")), weights, cap).where("copies > 0")
+    of = ["source", "doc_id", "size"]
+    texts = sized.groupBy("source", "doc_id", F.col("__mw_size").alias("size"), F.col("__mw_h").alias("h")).agg(F.count(F.lit(1)).alias("k"))
+    same_unit = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"u_{c}")) for c in of))
+    own = texts.join(u.select(*(F.col(c).alias(f"u_{c}") for c in of), "m", "copies"), same_unit).select(*of, "h", "k", "m", "copies")
+    # a unit's rows are numbered through its texts: those of one text have the numbers from `before` on
+    before = F.coalesce(F.sum("k").over(W.partitionBy(*of).orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = F.greatest(F.least(F.col("copies") % F.col("m") - F.col("before"), F.col("k")), F.lit(0))
+    dealt = own.withColumn("before", before).withColumn("__mw_copies", F.expr("copies div m") * F.col("k") + first).where("__mw_copies > 0")
+    dealt = cut(dealt.select(F.col("source").alias("__mw_source"), F.col("doc_id").alias("__mw_doc"), F.col("size").alias("__mw_usize"), F.col("h").alias("__mw_uh"), F.col("k").alias("__mw_k"), "__mw_copies"), many=F.count_if(F.col("__mw_k") > 1))
+    same = F.col("source").eqNullSafe(F.col("__mw_source")) & F.col("doc_id").eqNullSafe(F.col("__mw_doc")) & (F.col("__mw_size") == F.col("__mw_usize")) & (F.col("__mw_h") == F.col("__mw_uh"))
+    rows = sized.join(dealt.where("__mw_k = 1"), same).select(*names, F.col("__mw_copies").alias("__mw_n"))
+    if dealt.marks["many"]:
+        several = sized.join(dealt.where("__mw_k > 1"), same)
+        # equal rows, one of which stands for all: it is repeated as often as all of them are taken
+        one = several.dropDuplicates(["__mw_source", "__mw_doc", "__mw_usize", "__mw_uh"])
+        rows = rows.unionAll(one.select(*names, F.col("__mw_copies").alias("__mw_n")))
+    return rows.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mw_n")))).select(*names)

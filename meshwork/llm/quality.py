@@ -1,20 +1,22 @@
 """Quality by co-training: a text-content view and a metadata view teach each other, then score together.
 
-Each view is a ridge logistic regression on features that Spark computes. Labelled rows come to the driver as a
+Each view is a ridge logistic regression. The text view reads a text's words, as shares of WORDS hashed buckets, and ten
+measures of its surface; the metadata view reads source, lang and n_chars. Labelled rows come to the driver as a
 bounded sample (SAMPLE of either class, the first by a hash of doc_id, features only), weighted to the true rate.
 In every round each view labels all unlabelled documents of which it is sure, and these join the other view's
-training set: their features stay in Spark, where every Newton step sums loss, gradient and curvature, a row for
-each partition. Both views are then calibrated (Platt) on labelled rows that neither was
+training set: their features stay in Spark, where every Newton step (STEPS at most in a round, from the last round's
+weights) sums loss, gradient and curvature, by partition and then by groups of partitions. Both views are then calibrated (Platt) on labelled rows that neither was
 trained on, and a logistic regression over the calibrated logits combines them. Scoring all documents is one
 SQL expression: no shuffle, no Python.
 
 Defined results: null text counts as empty, null metadata as a category of its own, null n_chars as 0; rows
 of labels without a label are ignored; without labels of both classes every document scores the base rate
-(1.0 if there are no labels) and is kept; repeated rows score alike; an empty table gives an empty result.
+(1.0 if there are no labels) and is kept; of rows that share a doc_id one is learned from; repeated rows score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,20 @@ from meshwork.llm.text import settled, word_array
 from meshwork.session import cut
 
 #: Labelled rows of each class; rounds; least certainty of a label that a view passes on.
-SAMPLE, ROUNDS, SURE = 8000, 4, 0.95
+SAMPLE, ROUNDS, STEPS, SURE = 8000, 3, 4, 0.95
+#: Buckets that words are hashed to; words without a bucket that every text has besides, so that few words tell little.
+WORDS, DAMP = 128, 20.0
 KEEP_FROM = 0.3
 BUCKETS = {"source": 64, "lang": 16}
 TEXT = ("words", "word_chars", "symbols", "upper", "line_words", "distinct", "letters", "digits", "stops", "repeats")
 
 
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORDS)).cast("int")
+
+
 def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep, and an array of the text view's features under __mw_text_x."""
+    """The columns keep, an array of the text's surface measures under __mw_text_x, and its words under __mw_w."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(*keep, t.alias("__mw_t"))
     own = own.withColumns({"__mw_w": word_array(F.col("__mw_t")), "__mw_l": F.regexp_replace("__mw_t", r"[^\p{L}]+", "")})
@@ -56,7 +64,31 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
         "repeats": F.greatest(F.log1p(n) - F.log1p(F.col("__mw_d").cast("double")), F.lit(0.0)),
     }
     assert tuple(x) == TEXT
-    return own.select(*keep, F.array(*(v.cast("double") for v in x.values())).alias("__mw_text_x"))
+    return own.select(*keep, F.array(*(v.cast("double") for v in x.values())).alias("__mw_text_x"), "__mw_w")
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(__mw_id, x, size, source, lang): x holds TEXT and the shares of WORDS buckets as 32-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            surface = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(TEXT))
+            lists = b.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            at = np.repeat(np.arange(b.num_rows), n) * WORDS + lists.flatten().to_numpy(zero_copy_only=False)
+            shares = np.bincount(at, minlength=b.num_rows * WORDS).reshape(b.num_rows, WORDS) / (n + DAMP)[:, None]
+            x = np.hstack([surface, shares]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([row.tobytes() for row in x], pa.binary()), *b.columns[3:]], ["__mw_id", "x", "size", "source", "lang"])
+
+    rows = docs.withColumns({"__mw_id": F.col("doc_id").cast("long"), "__mw_meta": meta_features(docs.columns)})
+    rows = text_features(rows, ["__mw_id", "__mw_meta"])
+    return rows.select("__mw_id", "__mw_text_x", F.transform("__mw_w", _bucket).alias("b"), "__mw_meta.*").mapInArrow(run, "__mw_id long, x binary, size double, source int, lang int")
+
+
+def _matrix(x: list[bytes] | pa.Array) -> np.ndarray:
+    """Rows of 32-bit floats as a matrix."""
+    parts = x.to_pylist() if isinstance(x, pa.Array) else x
+    return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), len(TEXT) + WORDS).astype(float)
 
 
 def _slots(name: str) -> Column:
@@ -81,10 +113,13 @@ class Model:
     meta_bias: float
     combine: tuple[float, float, float]
 
-    def logits(self, text: Column, meta: Column) -> tuple[Column, Column]:
+    def logits(self, text: Column, words: Column, meta: Column) -> tuple[Column, Column]:
         t = F.lit(self.text_bias)
-        for i, w in enumerate(self.text):
+        for i, w in enumerate(self.text[: len(TEXT)]):
             t = t + F.lit(w) * text[i]
+        of_bucket = F.array(*map(F.lit, self.text[len(TEXT) :]))
+        told = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.element_at(of_bucket, _bucket(w) + 1))
+        t = t + told / (F.size(words) + F.lit(DAMP))
         m = F.lit(self.meta_bias) + F.lit(self.size[0]) * meta["size"] + F.lit(self.size[1]) * meta["size"] * meta["size"]
         for name, ws in (("source", self.source), ("lang", self.lang)):
             m = m + F.element_at(F.array(*map(F.lit, ws)), meta[name] + 1)
@@ -163,7 +198,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool, calibrat
     history: list[list[np.ndarray]] = []
     for _ in range(ROUNDS):
         history.append(models)
-        models = _newton(lambda ws: [a + b for a, b in zip(near(ws), far(history, ws), strict=True)], models)
+        models = _newton(lambda ws: [a + b for a, b in zip(near(ws), far(history, ws), strict=True)], models, steps=STEPS)
     held, logits = y[calibrate], []
     for k, (m, v) in enumerate(zip(models, views, strict=True)):
         a, b = _logistic(_apply(m, v[calibrate])[:, None], held, weight[calibrate])
@@ -179,21 +214,33 @@ def _arrays(text: np.ndarray, size: np.ndarray, source: np.ndarray, lang: np.nda
 
 
 def _summed(pool: DataFrame, mean: np.ndarray, dev: np.ndarray) -> Callable[[list[list[np.ndarray]], list[np.ndarray]], list[np.ndarray]]:
-    """_pool_sums over the rows of pool (__mw_text_x, size, source, lang): what comes to the driver is a row for each partition."""
+    """_pool_sums over the rows of pool (x, size, source, lang): rows of sums by partition, then by so many groups as there
+    are partitions in a group, which is what comes to the driver."""
+    groups = math.isqrt(pool.rdd.getNumPartitions()) + 1
 
     def sums(history: list[list[np.ndarray]], ws: list[np.ndarray]) -> list[np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals = None
             for b in batches:
                 if b.num_rows:
-                    text = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(TEXT))
-                    new = _pool_sums(_arrays(text, *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)), mean, dev), history, ws)
+                    views = _arrays(_matrix(b.column(0)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)), mean, dev)
+                    new = _pool_sums(views, history, ws)
+                    totals = new if totals is None else [x + y for x, y in zip(totals, new, strict=True)]
+            if totals is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in totals], ["a", "b"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals = None
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True):
+                    new = [np.frombuffer(x) for x in row]
                     totals = new if totals is None else [x + y for x, y in zip(totals, new, strict=True)]
             if totals is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in totals], ["a", "b"])
 
         totals = [np.zeros(1 + len(w) + len(w) ** 2) for w in ws]
-        for row in pool.mapInArrow(run, "a binary, b binary").collect():
+        by_part = pool.mapInArrow(run, "a binary, b binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        for row in by_part.repartition(groups, "g").mapInArrow(add, "a binary, b binary").collect():
             totals = [t + np.frombuffer(x) for t, x in zip(totals, row, strict=True)]
         return totals
 
@@ -207,16 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     by = F.xxhash64("doc_id", F.lit(7))
     marked: dict[int, int] = {}
     share: dict[int, float] = {}
-    for r in known.groupBy("y").count().orderBy("y").collect():
-        found = [x.doc_id for x in known.where(F.col("y") == r.y).orderBy(by, "doc_id").limit(sample).collect()]
+    for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").collect():
+        # by a threshold of the hash first, so that partitions send their share of the sample and not the sample each
+        likely = known.where((F.col("y") == r.y) & (F.pmod(by, F.lit(1 << 30)) <= int((1 << 30) * min(1.0, (2 * sample + 100) / r.n))))
+        found = [x.doc_id for x in likely.orderBy(by, "doc_id").limit(sample).collect()]
         marked |= dict.fromkeys(found, r.y)
-        share[r.y] = r["count"] / len(found)
-    wanted = spark.createDataFrame([(i,) for i in sorted(marked)] or [(-1,)], T.StructType([T.StructField("__mw_id", T.LongType())]))
-    rows = docs.join(F.broadcast(wanted), F.col("doc_id").cast("long") == F.col("__mw_id"))
-    rows = rows.withColumn("__mw_meta", meta_features(docs.columns))
-    # repeated rows could exceed the sample: the same bound holds for what comes to the driver
-    rows = text_features(rows, ["__mw_id", "__mw_meta"]).orderBy(F.xxhash64("__mw_id", F.lit(7)), "__mw_id", "__mw_text_x").limit(4 * sample)
-    data = rows.select("__mw_id", "__mw_text_x", "__mw_meta.*").toPandas()
+        share[r.y] = r.n / len(found)
+    wanted = spark.createDataFrame([(i,) for i in sorted(marked)] or [(-1,)], T.StructType([T.StructField("__mw_wanted", T.LongType())]))
+    rows = featured(docs.join(F.broadcast(wanted), F.col("doc_id").cast("long") == F.col("__mw_wanted")))
+    # of rows that share a doc_id one: the bound of the sample holds for what comes to the driver
+    data = rows.groupBy("__mw_id").agg(F.min(F.struct("x", "size", "source", "lang")).alias("r")).select("__mw_id", "r.*").orderBy("__mw_id").toPandas()
     if not len(data):
         return 1.0
     y = data["__mw_id"].map(marked).to_numpy(float)
@@ -227,16 +274,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rate = float(np.average(y[has], weights=weight[has])) if has.any() else 1.0
     if len(np.unique(y[has])) < 2 or min((y[has] == 0).sum(), (y[has] == 1).sum()) < 10:
         return rate
-    text = np.stack(data["__mw_text_x"].to_numpy()).astype(float)
-    mean, dev = text.mean(0), text.std(0) + 1e-6
+    text = _matrix([bytes(x) for x in data["x"]])
+    # a bucket of few words gets little weight, not a large scale
+    mean, dev = text.mean(0), text.std(0) + np.where(np.arange(text.shape[1]) < len(TEXT), 1e-6, 1e-2)
     x, meta = _arrays(text, *(data[c].to_numpy(float) for c in ("size", "source", "lang")), mean, dev)
     # a row calibrates by its id, so that copies of a row stay on one side
     side = np.array([(int(i) * 2654435761 >> 7) % 4 == 0 for i in data["__mw_id"]])
     if len(np.unique(y[has & side])) < 2 or len(np.unique(y[has & ~side])) < 2:
         return rate
-    others = docs.withColumns({"__mw_id": F.col("doc_id").cast("long"), "__mw_meta": meta_features(docs.columns)})
-    others = text_features(others, ["__mw_id", "__mw_meta"]).join(known.select(F.col("doc_id").alias("__mw_id")), "__mw_id", "left_anti")
-    pool = cut(others.select("__mw_text_x", "__mw_meta.size", "__mw_meta.source", "__mw_meta.lang"))
+    others = docs.join(known.select(F.col("doc_id").alias("__mw_known")).distinct(), F.col("doc_id").cast("long") == F.col("__mw_known"), "left_anti")
+    pool = cut(featured(others).drop("__mw_id"))
     (wt, wm), wc = co_train((x[has], meta[has]), y[has], _summed(pool, mean, dev), side[has], weight[has])
     raw = wt[:-1] / dev
     s, la = BUCKETS["source"], BUCKETS["lang"]
@@ -251,7 +298,7 @@ def score(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame:
     rows = docs.withColumn("__mw_meta", meta_features(docs.columns))
     # text is read by the features and may also be kept
     rows = text_features(rows.select(*names, *([] if "text" in names else ["text"]), "__mw_meta"), [*names, "__mw_meta"])
-    t, m = model.logits(F.col("__mw_text_x"), F.col("__mw_meta"))
+    t, m = model.logits(F.col("__mw_text_x"), F.col("__mw_w"), F.col("__mw_meta"))
     rows = rows.select(*names, t.alias("__mw_lt"), m.alias("__mw_lm"))
     clip = lambda c: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))
     sigmoid = lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-c))

@@ -43,7 +43,8 @@ from meshwork.session import cut
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 BLOCK = 1 << 15
-#: The key cases in the order in which they are taken, those of few keys first.
+#: Fingerprints whose keys one task makes; the key cases in the order in which they are taken, those of few keys first.
+PER_TASK = 20_000
 ROUNDS = ((3, 4, 9, 10, 11, 12), (1, 2, 5, 6, 7, 8))
 
 
@@ -128,7 +129,8 @@ def _keys(nodes: DataFrame, cases: tuple[int, ...]) -> DataFrame:
                 key, row = key_rows(part, cases)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(comp[row], mask=(comp == part)[row])], ["key", "fp", "comp"])
 
-    return nodes.select("fp", "comp").mapInArrow(run, "key long, fp long, comp long")
+    # a fingerprint makes up to 2,500 bytes of keys: what one task reads is set by their number, not by the files' size
+    return nodes.select("fp", "comp").repartition(max(-(-nodes.marks["n"] // PER_TASK), 1), "fp").mapInArrow(run, "key long, fp long, comp long")
 
 
 def _near(a: str, b: str, distance: int) -> Column:
@@ -171,14 +173,14 @@ def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
     if not links.marks["n"]:
         return nodes
     to = contract_components(links).where("vertex <> component")
-    return cut(nodes.join(to, nodes.comp == to.vertex, "left").select("fp", F.coalesce("component", "comp").alias("comp")))
+    return cut(nodes.join(to, nodes.comp == to.vertex, "left").select("fp", F.coalesce("component", "comp").alias("comp")), n=F.count(F.lit(1)))
 
 
 def components(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, comp) for the distinct fingerprints of (doc_id, fp): comp names the component, itself a fingerprint."""
     if not 0 <= distance <= 4:
         raise ValueError("the key cases cover distances up to 4")
-    nodes = cut(fps.select("fp", F.col("fp").alias("comp")).distinct())
+    nodes = cut(fps.select("fp", F.col("fp").alias("comp")).distinct(), n=F.count(F.lit(1)))
     for cases in ROUNDS:
         rows = cut(met(nodes, cases, distance), left=F.count_if("more"))
         nodes = _merge(nodes, rows.where("near").select(F.col("comp").alias("src"), F.col("hub_comp").alias("dst")))

@@ -7,7 +7,7 @@ ways, pools its states by attention and gives a logit. A document's score is the
 worst window.
 
 Training is on the driver, over a bounded sample: SAMPLE documents of either label, the first by a hash of
-doc_id, never those held out. Log-odds are cross-fitted in two folds, so that the network doesn't trust what
+doc_id, never those held out, BYTES in all, none longer than LONGEST (documents are taken whole or not at all). Log-odds are cross-fitted in two folds, so that the network doesn't trust what
 it only saw once. Windows of clean documents are clean; of toxic ones, the two of most evidence are toxic. A
 quarter of the sample only calibrates, towards the true rate of the label.
 
@@ -31,6 +31,8 @@ from meshwork.llm.text import slices
 
 WINDOW, STRIDE, HIDDEN, ATTENTION, CODE = 64, 32, 8, 8, 3
 SAMPLE, STEPS, BATCH, RATE, SEED = 2000, 300, 256, 0.02, 7
+#: Bytes of the longest text, and of all texts, that are learned from.
+LONGEST, BYTES = 1 << 20, 16 << 20
 BUCKETS, GRAMS, THRESHOLD, FOLDS, HELD = 1 << 18, (3, 4, 5), 0.3, 4, 2
 EDGES = " .,;:!?$#%&*|\"'()[]{}<>«»…-–_"
 INPUTS = 3 + 2 * CODE
@@ -314,16 +316,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """A model, or the base rate (0 without labels) where fewer than two documents of a label can be learned from."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
-    n, ones = known.agg(F.count("y"), F.sum("y")).first()
-    rate = (ones or 0) / n if n else 0.0
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rate = counts.get(1, 0) / max(sum(counts.values()), 1)
     by = F.xxhash64("doc_id", F.lit(SEED))
     marked: dict[int, int] = {}
-    for y in (0, 1):
-        marked |= {r.doc_id: y for r in known.where(F.col("y") == y).orderBy(by, "doc_id").limit(sample).collect()}
+    for y, n in sorted(counts.items()):
+        # by a threshold of the hash first, so that partitions send their share of the sample and not the sample each
+        likely = known.where((F.col("y") == y) & (F.pmod(by, F.lit(1 << 30)) <= int((1 << 30) * min(1.0, (2 * sample + 100) / n))))
+        marked |= {r.doc_id: y for r in likely.orderBy(by, "doc_id").limit(sample).collect()}
     wanted = spark.createDataFrame(sorted(marked.items()) or [(-1, 0)], "__mw_id long, __mw_y int")
     rows = docs.select(F.col("doc_id").cast("long").alias("__mw_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__mw_text")).join(F.broadcast(wanted), F.col("__mw_doc") == F.col("__mw_id"))
-    # repeated doc_ids could exceed the sample: the bound holds for what comes to the driver
-    got = rows.select("__mw_id", "__mw_y", "__mw_text").orderBy(F.xxhash64("__mw_id", F.lit(SEED)), "__mw_id", "__mw_text").limit(2 * sample).collect()
+    # repeated doc_ids could exceed the sample, and long texts the driver: rows are taken by hash while they fit, whole or not at all
+    order = [F.xxhash64("__mw_id", F.lit(SEED)), F.col("__mw_id"), F.xxhash64("__mw_text")]
+    rows = rows.select("__mw_id", "__mw_y", "__mw_text", F.octet_length("__mw_text").alias("__mw_bytes")).where(F.col("__mw_bytes") <= LONGEST)
+    fit_in = rows.select("__mw_id", "__mw_y", "__mw_bytes", *(c.alias(f"__mw_o{k}") for k, c in enumerate(order))).orderBy("__mw_o0", "__mw_o1", "__mw_o2").limit(2 * sample).collect()
+    total, last = 0, None
+    for r in fit_in:
+        total += r["__mw_bytes"]
+        if total > BYTES:
+            break
+        last = r["__mw_o0"]
+    got = rows.where(order[0] <= F.lit(last)).orderBy(*order).limit(2 * sample).select("__mw_id", "__mw_y", "__mw_text").collect() if last is not None else []
     y = np.array([r[1] for r in got])
     if len(y) == 0 or np.bincount(y, minlength=2).min() < 8:
         return float(rate)

@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: a dictionary in a leading skippable frame, then one frame per record.
 
 Writing: equal payloads of MIN_REVISIT bytes or more are one response, of the largest page_id, and revisits
-of it. Which row is which is decided on digests alone; payloads move once, to the join with those decisions.
+of it. Which row is which is decided on digests alone; payloads don't move while the decisions on what repeats are small
+enough to be broadcast, and once, to the join with them, beyond.
 Each task writes archives of about ROLL bytes into the shared folder under names of its own attempt and
 returns their paths; only the paths of tasks that succeeded reach the manifest, so that what a lost or
 repeated task has left behind is never read.
@@ -21,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.session import checkpoint_dir, cut
+from meshwork.session import cut, qualified, work_folder
 
 MIN_REVISIT, ROLL, LEVEL = 1000, 8 << 20, 6
 #: Bytes of a dictionary, records that it is trained on.
@@ -48,9 +48,12 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
-    key = F.when(F.col("payload_bytes") >= min_bytes, F.col("digest"))
-    large = rows.select("page_id", key.alias("same")).where("same is not null")
+    large = rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", F.col("digest").alias("same"))
     several = large.groupBy("same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 and holder is not null").select("same", "holder")
+    # kept, so that its size is known: payloads stay where they are while what repeats is small enough to be broadcast
+    several = cut(several)
+    # small pages have keys of their own that nothing meets, not one key for all
+    key = F.when(F.col("payload_bytes") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "digest").cast("string")))
     rows = rows.join(several, key == F.col("same"), "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "digest", F.when(revisit, F.col("holder")).alias("refers_to"))
@@ -161,8 +164,8 @@ def parse(one: bytes) -> dict:
 
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """The manifest (path, records, bytes) of the archives that hold a record per row of pages (page_id, url, html)."""
-    folder = folder or f"{checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(pages.sparkSession, folder) if folder else work_folder(pages.sparkSession, "warc")
+    folder = folder if "://" in folder else folder.replace("file:/", "file:///", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -68,3 +68,12 @@ def test_bad_templates():
         chat.Template(control=("x", "### ", "</turn>", ":\n"))
     with pytest.raises(ValueError):
         chat.Template(control=("### ",))
+
+
+def test_turns_of_equal_number_are_ordered_by_their_raw_text(spark):
+    rows = [(1, 0, "user", "### a"), (1, 0, "user", "##z"), (1, 0, "user", "##")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, SCHEMA)
+        texts = chat.format_chats(df).select(chat.read_turns(chat.F.col("formatted")).alias("t")).first().t
+        assert [x.text for x in texts] == ["##", "### a", "##z"]
+        assert got(spark, some) == want(some)
