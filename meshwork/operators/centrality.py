@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,20 @@ from meshwork.operators.components import contract_components
 from meshwork.session import cut
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, batches: int = 1, max_levels: int = 1_000_000) -> DataFrame:
     """(vertex, score): dependency of sources (vertex) on each vertex, over directed edges without repeats.
 
-    All sources advance together, a row being (vertex, source); path counts go forward level by level, dependencies
-    back along the same edges.
+    The sources of a batch advance together, a row being (vertex, source), which bounds what is held at once; path counts go
+    forward level by level, dependencies back along the same edges. Scores of the batches are added up.
     """
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    sources = cut(sources.select("vertex"))
+    parts = [cut(_batch(e, sources.where(F.pmod(F.xxhash64("vertex"), F.lit(batches)) == k), max_levels)) for k in range(batches)]
+    return reduce(DataFrame.unionAll, parts).groupBy("vertex").agg(F.sum("score").alias("score"))
+
+
+def _batch(e: DataFrame, sources: DataFrame, max_levels: int) -> DataFrame:
+    """(vertex, score) of some sources over clean edges."""
     levels = [cut(sources.select("vertex", F.col("vertex").alias("source"), F.lit(1.0).alias("paths"), F.lit(0).alias("level")))]
     seen = levels[0].select("vertex", "source")
     for level in range(1, max_levels):
@@ -27,6 +36,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_levels: int = 10_000)
             break
         levels.append(new)
         seen = seen.unionAll(new.select("vertex", "source"))
+    else:
+        raise RuntimeError(f"vertices beyond {max_levels} levels")
     below, total = None, None
     for level in reversed(levels):
         if below is None:
@@ -65,5 +76,7 @@ def markov_clustering(a: DataFrame, inflation: float = 2.0, prune_below: float =
         if chaos <= epsilon:
             break
         a = cut(a)
+    else:
+        raise RuntimeError(f"chaos above {epsilon} after {max_rounds} rounds")
     cc = contract_components(a.select(F.col("row").alias("src"), F.col("col").alias("dst")))
     return cc.select("vertex", F.col("component").alias("cluster"))

@@ -54,8 +54,8 @@ def mis(edges: DataFrame, seed: int = 1, keep: Column | None = None, distance: i
             near = _spread(e, near)
         left = cut(left.join(near.select("vertex"), "vertex", "left_anti"))
         if left.isEmpty():
-            break
-    return reduce(DataFrame.unionAll, members)
+            return reduce(DataFrame.unionAll, members)
+    raise RuntimeError(f"vertices undecided after {max_rounds} rounds")
 
 
 def aggregates(edges: DataFrame, seed: int = 1) -> DataFrame:

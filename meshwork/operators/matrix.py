@@ -151,7 +151,7 @@ def mat_reduce(a: DataFrame, dim: str, agg: Callable[[Column], Column], zero=Non
 def spmv(a: DataFrame, x: DataFrame, sr: Semiring = PLUS_TIMES, n: int | None = None) -> DataFrame:
     """y = a x: one join on the column, one partially aggregated sum; dense over 0..n-1 if n is given."""
     v = x.select(F.col("idx").alias("i"), F.col("val").alias("x"))
-    y = a.join(v, F.col("col") == F.col("i")).groupBy(F.col("row").alias("idx")).agg(sr.add(sr.mul(F.col("val"), F.col("x"))).alias("val"))
+    y = a.join(v, F.col("col") == F.col("i")).groupBy(F.col("row").alias("idx")).agg(sr.total(sr.mul(F.col("val"), F.col("x")), F.col("i")).alias("val"))
     if n is None:
         return y
     from meshwork.operators.vector import densify
@@ -170,7 +170,7 @@ def spgemm(a: DataFrame, b: DataFrame, sr: Semiring = PLUS_TIMES, layers: int =
         on = (F.col("k") == F.col("k2")) & (F.col("layer") == F.col("layer2"))
     else:
         on = F.col("k") == F.col("k2")
-    return left.join(right, on).groupBy("row", "col").agg(sr.add(sr.mul(F.col("a"), F.col("b"))).alias("val"))
+    return left.join(right, on).groupBy("row", "col").agg(sr.total(sr.mul(F.col("a"), F.col("b")), F.col("k")).alias("val"))
 
 
 def square(a: DataFrame, sr: Semiring = PLUS_TIMES) -> DataFrame:

@@ -234,3 +234,19 @@ def exclusive_scan(v: DataFrame) -> DataFrame:
     from meshwork.operators.relabel import with_offsets
 
     return with_offsets(v, ["idx"], F.sum("val"), "before", lambda w: F.coalesce(F.sum("val").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("idx", F.col("before").alias("val"))
+
+
+def keyed_scan(df: DataFrame, key: str, order: str, value: str, agg: Callable = F.sum, exclusive: bool = False, name: str = "scan") -> DataFrame:
+    """df plus the running aggregate (sum, min, max, ...) of value within key, in the order of order; exclusive: of the rows before."""
+    rows = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    return df.withColumn(name, agg(value).over(rows))
+
+
+def shifted(df: DataFrame, key: str, order: str, value: str, by: int = 1, name: str = "shifted") -> DataFrame:
+    """df plus the value of the row that is `by` places on (negative: back) within key; null beyond the ends."""
+    return df.withColumn(name, F.lead(value, by).over(W.partitionBy(key).orderBy(order)))
+
+
+def runs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, first, last, n) of each run of equal keys: a partially aggregated group-by, no sort."""
+    return df.groupBy(key).agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("n"))

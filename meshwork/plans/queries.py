@@ -13,7 +13,7 @@ from meshwork.operators import bfs, centrality, components, edges, independent,
 from meshwork.operators import matrix as M
 from meshwork.operators import vector as V
 from meshwork.plans.graphs import EDGES, MATRICES, VECTORS, WHOLE, Source
-from meshwork.session import checkpoint_dir, cut
+from meshwork.session import cut, work_folder
 from meshwork.sources import generators, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,7 @@ for _name, _args in {
     "cc_label_unpruned": {"method": "label", "prune_stable": False},
     "cc_adaptive": {"method": "auto"},
     "cc_hybrid": {"method": "hybrid", "bfs_runs": 2},
+    "cc_sequential": {"method": "sequential"},
 }.items():
     q(_name, lambda g, a=_args: bfs.connected_components(g, **a), e("order_part"), sql=_CC)
 q("cc_hybrid_giant", lambda g: bfs.connected_components(g, "hybrid"), e("part_supplier"), sql=_cc("part_supplier") + "SELECT v AS vertex, l AS component FROM cc")
@@ -184,8 +185,34 @@ q("hash_ids_round_trip", lambda g: g.select(hashing.unmix64(hashing.mix64(F.col(
 q("hash_ids", lambda g: hashing.permute_ids(g).agg(F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets")), e("part_supplier"), sql="SELECT count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM {part_supplier}")
 q("rename_vertices_degrees", lambda g: edges.degree_distribution(components.symmetrise(relabel.rename_vertices(g, 3)[0])), e("order_part"), sql=f"SELECT degree, count(*) AS n FROM (SELECT count(DISTINCT dst) AS degree FROM {_sym('order_part')} GROUP BY src) GROUP BY degree")
 q("permute_edges_count", lambda g: relabel.permute_edges(g, 3).agg(F.count_distinct("place").alias("places"), F.max("place").alias("last")), e("order_part"), sql="SELECT count(*) AS places, count(*) - 1 AS last FROM {order_part}")
-q("neighbour_shift", lambda g: g.select("src", F.lead("dst").over(_by_src()).alias("next_dst"), F.lag("dst").over(_by_src()).alias("last_dst")), e("order_part"), sql="SELECT src, lead(dst) OVER (PARTITION BY src ORDER BY dst) AS next_dst, lag(dst) OVER (PARTITION BY src ORDER BY dst) AS last_dst FROM {order_part}")
-q("runs", lambda g: g.groupBy("src").agg(F.min("dst").alias("first"), F.max("dst").alias("last"), F.count(F.lit(1)).alias("n")), e("order_part"), sql="SELECT src, min(dst) AS first, max(dst) AS last, count(*) AS n FROM {order_part} GROUP BY src")
+q("neighbour_shift", lambda g: V.shifted(V.shifted(g, "src", "dst", "dst", 1, "next_dst"), "src", "dst", "dst", -1, "last_dst").select("src", "next_dst", "last_dst"), e("order_part"), sql="SELECT src, lead(dst) OVER (PARTITION BY src ORDER BY dst) AS next_dst, lag(dst) OVER (PARTITION BY src ORDER BY dst) AS last_dst FROM {order_part}")
+q("runs", lambda g: V.runs(g, "src", "dst"), e("order_part"), sql="SELECT src, min(dst) AS first, max(dst) AS last, count(*) AS n FROM {order_part} GROUP BY src")
+_SCANNED = "SELECT src, dst, min(w) OVER p AS least, max(w) OVER p AS most, cast(sum(w) OVER (PARTITION BY src ORDER BY dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bigint) AS before FROM (SELECT DISTINCT src, dst, (dst * 7919) % 101 AS w FROM {order_part}) WINDOW p AS (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING)"
+
+
+def _scanned(g: DataFrame) -> DataFrame:
+    w = g.select("src", "dst", ((F.col("dst") * 7919) % 101).alias("w")).distinct()
+    w = V.keyed_scan(V.keyed_scan(w, "src", "dst", "w", F.min, name="least"), "src", "dst", "w", F.max, name="most")
+    return V.keyed_scan(w, "src", "dst", "w", F.sum, exclusive=True, name="before").drop("w")
+
+
+q("keyed_scans", _scanned, e("order_part"), sql=_SCANNED)
+
+
+def _stepped(doubling: bool) -> Callable[[DataFrame], DataFrame]:
+    """One step of label propagation from every vertex's own label."""
+
+    def run(g: DataFrame) -> DataFrame:
+        both = cut(components.symmetrise(g).distinct())
+        step = components.label_step(both, both.select(F.col("src").alias("vertex")).distinct().withColumn("component", F.col("vertex")))
+        return components.parent_step(cut(step)) if doubling else step
+
+    return run
+
+
+_STEP = f"s AS (SELECT src AS vertex, src AS component, least(src, min(dst)) AS next FROM {_sym('order_part')} GROUP BY src)"
+q("label_step", _stepped(False), e("order_part"), sql=f"WITH {_STEP} SELECT * FROM s")
+q("parent_step", _stepped(True), e("order_part"), sql=f"WITH {_STEP} SELECT s.vertex, s.component, least(s.next, p.next) AS next FROM s JOIN s p ON p.vertex = s.next")
 q("edge_distribution", lambda g: edges.edge_distribution(g).select((F.col("most") >= F.col("least")).alias("ok")), e("order_part"), sql="SELECT true AS ok")
 q("exclusive_scan", V.exclusive_scan, v("balance"), sql="SELECT idx, cast(coalesce(sum(val) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS val FROM {balance}")
 
@@ -195,12 +222,6 @@ def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("k", F.lit(0)).join(b.withColumn("k", F.lit(0)), "k").drop("k")
 
 
-def _by_src():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("src").orderBy("dst")
-
-
 # vectors: PRJ-7, 8, 12, 14..17, 19, 20; JN-3..6, 16, 17; AG-10..13; WN-5; ST-6..8; SO-1..5; SRC-12
 def _n(s: SparkSession, d: str, table: str = "customer") -> int:
     """Length of a vector over a table's keys, which count from 1."""
@@ -300,13 +321,17 @@ for _name, _sr, _agg in (
     ("min_plus", S.MIN_PLUS, "min(a.val + x.val)"),
     ("max_times", S.MAX_TIMES, "max(a.val * x.val)"),
     ("select_max", S.SELECT_MAX, "max(x.val)"),
-    ("select_second", S.SELECT_SECOND, "max(x.val)"),
+    ("select_second", S.SELECT_SECOND, "arg_max(x.val, a.col)"),
+    ("copy_first", S.COPY_FIRST, "min(a.val)"),
+    ("copy_second", S.COPY_SECOND, "min(x.val)"),
     ("select_min", S.SELECT_MIN, "min(x.val)"),
     ("count", S.COUNT, "count(*)"),
     ("or_and", S.OR_AND, "bool_or(a.val <> 0 AND x.val <> 0)"),
     ("filtered", S.filtered(S.PLUS_TIMES, lambda x: x >= 60), "cast(sum(CASE WHEN a.val >= 60 THEN a.val * x.val END) AS bigint)"),
 ):
     q(f"spmspv_{_name}", lambda a, x, r=_sr: M.spmv(a, x, r), m("a"), v("x"), sql=f"SELECT a.row AS idx, {_agg} AS val FROM {{a}} a JOIN {{x}} x ON a.col = x.idx GROUP BY a.row")
+_TOP = (1 << 63) - 1
+q("spmspv_min_plus_saturating", lambda a, x: M.spmv(a, x.select("idx", F.lit(_TOP - 20).alias("val")), S.MIN_PLUS), m("a"), v("x"), sql=f"SELECT a.row AS idx, cast(min(least(a.val::hugeint + {_TOP - 20}, {_TOP})) AS bigint) AS val FROM {{a}} a JOIN {{x}} x ON a.col = x.idx GROUP BY a.row")
 q("spmspv_random", lambda a, x: M.spmv(a, x, S.select_random(3)), m("a"), v("x"))
 for _end, _x in {"": v("x"), "_whole": v("x").whole}.items():
     query(f"spmv_dense{_end}", lambda s, d, x=_x: M.spmv(MATRICES["a"](s, d), V.densify(x(s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i", bool(_end)))
@@ -377,14 +402,12 @@ for _how in matching.METHODS:
     q(f"matching_{_how}_check", _bip(_matched(lambda b, h=_how: matching.maximal_matching(b, h))), e("order_part"), sql="SELECT true AS ok, true AS maximal")
 q("matching_maximum_check", _bip(_matched(matching.maximum_matching)), e("order_part"), sql="SELECT true AS ok, true AS maximal")
 q("matching_maximum_size", _bip(lambda b: matching.maximum_matching(b).agg(F.count(F.lit(1)).alias("n"))), e("order_part"))
-query("bfs_statistics", lambda s, d: bfs.bfs_statistics(s.range(1, 6).select((F.col("id") * 1_000_000).alias("edges"), F.lit(1.0).alias("seconds"))).select("least", "q1", "median", "q3", "most", "mean"), "SELECT 1.0::double AS least, 2.0::double AS q1, 3.0::double AS median, 4.0::double AS q3, 5.0::double AS most, 3.0::double AS mean")
+query("bfs_statistics", lambda s, d: bfs.bfs_statistics(s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg((F.sum("l_quantity") * 1_000_000).alias("edges"), F.count(F.lit(1)).cast("double").alias("seconds"))).select("least", "q1", "median", "q3", "most", F.round("mean", 6).alias("mean")), "SELECT min(x) AS least, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS most, round(avg(x), 6) AS mean FROM (SELECT sum(l_quantity) / count(*) AS x FROM lineitem GROUP BY l_orderkey)")
 
 
 # sources and sinks: SRC-1..11, SNK-1..6. What is written goes to the shared folder and is read back.
 def _there(s: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{checkpoint_dir(s)}/{name}-{uuid.uuid4().hex}"
+    return work_folder(s, name)
 
 
 def _round_trip(write: Callable, read: Callable) -> Callable[[DataFrame], DataFrame]:
@@ -401,6 +424,7 @@ q("text_edges_round_trip", _round_trip(sinks.write_text, lambda s, p: readers.re
 q("text_edges_reversed", _round_trip(lambda df, p: sinks.write_text(df, p, False), readers.read_edge_list), e("order_part"), sql=f"SELECT src, dst FROM {_sym('order_part')}")
 q("text_edges_lenient", _round_trip(lambda df, p: df.select(F.concat(F.lit(" "), "src", F.lit("\t"), "dst", F.lit("  0.5"))).write.text(p), lambda s, p: readers.read_edge_list(s, p, False, False)), e("order_part"), sql="SELECT src, dst FROM {order_part}")
 q("binary_edges_round_trip", _round_trip(sinks.write_binary, readers.read_binary_edges), e("part_supplier"), sql="SELECT src, dst FROM {part_supplier} WHERE src < dst")
+q("binary_edges_32_round_trip", _round_trip(lambda g, p: sinks.write_binary(g, p, 32), lambda s, p: readers.read_binary_edges(s, p, 32)), e("part_supplier"), sql="SELECT src, dst FROM {part_supplier} WHERE src < dst")
 q("dot_lines", _round_trip(sinks.write_dot, lambda s, p: s.read.text(p).select(F.col("value").alias("line"))), e("order_part"), sql="SELECT 'graph G {' AS line UNION ALL SELECT '}' UNION ALL SELECT src || ' -- ' || dst || ';' FROM {order_part} WHERE src < dst")
 q("matrix_market_round_trip", _round_trip(lambda a, p: sinks.write_matrix_market(a, p, _SIDE, _SIDE, "integer"), lambda s, p: readers.read_matrix_market(s, p)[0]), m("b"), sql="SELECT row, col, val FROM {b}")
 q("triples_transposed", _round_trip(lambda a, p: sinks.write_matrix_market(a, p, _SIDE, _SIDE), lambda s, p: readers.read_triples(s, p, transpose=True)[0]), m("b"), sql="SELECT col AS row, row AS col, val::double AS val FROM {b}")
@@ -409,7 +433,7 @@ q("binary_matrix_round_trip", _round_trip(lambda a, p: sinks.write_binary_matrix
 q("vector_round_trip", _round_trip(sinks.write_vector, readers.read_vector), v("orders"), sql="SELECT idx, val::double AS val FROM {orders}")
 q("binary_vector_round_trip", _round_trip(sinks.write_binary_vector, readers.read_binary_vector), v("balance"), sql="SELECT idx, val::double AS val FROM {balance}")
 q("hypergraph_lines", _round_trip(lambda a, p: sinks.write_hypergraph(a, p, 10, 10), lambda s, p: s.read.text(p).select(F.col("value").alias("line"))), m("b"), sql="SELECT '0 10 10 ' || count(*) AS line FROM {b} UNION ALL SELECT string_agg(col, ' ' ORDER BY col) FROM {b} GROUP BY row")
-q("matrix_description", lambda a: sinks.describe(a).select("rows"), m("b"), sql="SELECT count(*) AS rows FROM {b}")
+q("matrix_description", lambda a: sinks.describe(a.repartition(3, "row")).select("rows", (F.col("most") >= F.col("least")).alias("spread"), (F.col("parts") <= 3).alias("few")), m("b"), sql="SELECT count(*) AS rows, true AS spread, true AS few FROM {b}")
 
 
 def _attributed(s: SparkSession, d: str) -> DataFrame:
@@ -422,6 +446,16 @@ def _attributed(s: SparkSession, d: str) -> DataFrame:
     return readers.read_attributed_edges(s, path).select("src", "dst", "follower", F.col("count").cast("long").alias("count"), F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
+def _attributed_binary(s: SparkSession, d: str) -> DataFrame:
+    path, n = _there(s, "attributed-binary"), F.col("l_linenumber") - 1
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    rows = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_returnflag") == "R").alias("follower"), n.alias("count"), F.when(n > 0, F.col("l_shipdate")).alias("latest"))
+    sinks.write_attributed_binary(rows, path)
+    return readers.read_attributed_binary(s, path).select("src", "dst", "follower", F.col("count").cast("long").alias("count"), F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"))
+
+
+_ATTRIBUTED = "SELECT l_orderkey AS src, l_partkey AS dst, l_returnflag = 'R' AS follower, cast(l_linenumber - 1 AS bigint) AS count, CASE WHEN l_linenumber > 1 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS latest FROM lineitem"
+query("attributed_edges_binary", _attributed_binary, _ATTRIBUTED)
 query("attributed_edges", _attributed, "SELECT l_orderkey AS src, l_partkey AS dst, l_returnflag = 'R' AS follower, cast(l_linenumber - 1 AS bigint) AS count, CASE WHEN l_linenumber > 1 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS latest FROM lineitem")
 
 
@@ -440,8 +474,14 @@ def _debruijn(s: SparkSession, d: str) -> DataFrame:
 
 _READ = "(SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"
 query("debruijn_counts", _debruijn, f"WITH k AS (SELECT substr(s, i, 31) AS a, substr(s, i + 1, 31) AS b FROM (SELECT s, unnest(range(1, greatest(length(s) - 30, 1))) AS i FROM {_READ} WHERE length(s) > 31)) SELECT 2 * (SELECT count(*) FROM k) AS n_edges, (SELECT count(*) FROM (SELECT DISTINCT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) FROM (SELECT a AS x FROM k UNION ALL SELECT b FROM k))) AS n_vertices")
+_CANON = "least({x}, reverse(translate({x}, 'ACGT', 'TGCA')))"
+_KMERS = f"""WITH RECURSIVE k AS (SELECT substr(s, i, 31) AS a, substr(s, i + 1, 31) AS b FROM (SELECT s, unnest(range(1, greatest(length(s) - 30, 1))) AS i FROM {_READ.replace("FROM documents", "FROM benchmark")} WHERE length(s) > 31)),
+c AS (SELECT DISTINCT {_CANON.format(x="a")} AS a, {_CANON.format(x="b")} AS b FROM k), e AS (SELECT a, b FROM c UNION SELECT b, a FROM c),
+cc(v, l) USING KEY (v) AS (SELECT DISTINCT a, a FROM e UNION
+ SELECT x.v, x.l FROM (SELECT e.b v, min(cc.l) l FROM cc JOIN e ON e.a = cc.v GROUP BY 1) x JOIN recurring.cc r ON r.v = x.v WHERE x.l < r.l)
+SELECT n, count(*) AS components FROM (SELECT count(*) AS n FROM cc GROUP BY l) GROUP BY n"""
 for _end, _table in {"": "benchmark", "_whole": "documents"}.items():
-    query(f"cc_debruijn{_end}", lambda s, d, t=_table: edges.component_sizes(components.contract_components(readers.kmer_edges(_reads(s, d, t), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")))
+    query(f"cc_debruijn{_end}", lambda s, d, t=_table: edges.component_sizes(components.contract_components(readers.kmer_edges(_reads(s, d, t), 31))).groupBy("n").agg(F.count(F.lit(1)).alias("components")), _KMERS if _end == "" else None)
 query("chain", lambda s, d: generators.chain(s, 1000), "SELECT i AS src, i + 1 AS dst FROM (SELECT unnest(range(999)) AS i) UNION ALL SELECT i + 1, i FROM (SELECT unnest(range(999)) AS i)")
 query("cc_chain", lambda s, d: edges.component_sizes(components.contract_components(generators.chain(s, 5000))), "SELECT 0::bigint AS component, 5000::bigint AS n")
 query("kronecker_counts", lambda s, d: generators.kronecker(s, 12, 16).agg(F.count(F.lit(1)).alias("n"), (F.max("src") < 4096).alias("in_range")), "SELECT cast(2 * 16 * 4096 AS bigint) AS n, true AS in_range")

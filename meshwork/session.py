@@ -49,7 +49,7 @@ def _hadoop(spark: SparkSession, path: str):
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme and host that Spark reads it by: without a scheme, those of fs.defaultFS."""
     fs, p = _hadoop(spark, path)
-    return fs.makeQualified(p).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", fs.makeQualified(p).toString())
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.operators.components import symmetrise
+from meshwork.session import qualified
 
 #: Bytes of a binary file that a task reads at once.
 CHUNK = 8 << 20
@@ -34,20 +35,20 @@ def _triples(spark: SparkSession, path: str, pattern: bool, parse: Callable[[Col
     """(row, col, val, n_fields, header rows included) of the lines that are no comment."""
     part = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = spark.read.text(path).where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0)).select(part.alias("f"))
-    value = F.lit(1.0) if pattern else (parse(F.slice("f", 3, 1000)) if parse else F.get("f", F.lit(2)).try_cast("double"))
+    value = F.lit(1.0) if pattern else (parse(F.slice("f", F.lit(3), F.size("f"))) if parse else F.get("f", F.lit(2)).try_cast("double"))
     return rows.select(F.get("f", F.lit(0)).try_cast("long").alias("row"), F.get("f", F.lit(1)).try_cast("long").alias("col"), value.alias("val"), F.col("f"))
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, tuple[int, int, int]]:
-    """(banner or '', (rows, columns, entries)) from the first lines: one task reads until it has the sizes."""
+    """(banner or '', (rows, columns, entries)): the first two lines that are no comment, however many comments there are."""
     banner, sizes = "", None
-    for r in spark.read.text(path).where("length(trim(value)) > 0").limit(1000).toLocalIterator():
+    told = F.col("value").startswith("%%MatrixMarket") | ~F.col("value").startswith("%")
+    for r in spark.read.text(path).where("length(trim(value)) > 0").where(told).limit(2).collect():
         line = r[0].strip()
         if line.startswith("%%MatrixMarket"):
             banner = line
-        elif not line.startswith("%"):
+        elif sizes is None:
             sizes = tuple(int(x) for x in line.split()[:3])
-            break
     if sizes is None or len(sizes) < 3:
         raise ValueError(f"{path} has no header of sizes")
     return banner, sizes
@@ -96,7 +97,8 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
 
 def _ranges(spark: SparkSession, path: str, record: int, skip: int, schema: str, decode: Callable[[np.ndarray], list[np.ndarray]], dtype: np.dtype) -> DataFrame:
     """Fixed records of one file, read by byte ranges of about CHUNK: tasks share no state and hold one range."""
-    store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    path = qualified(spark, path)
+    store, base = fs.FileSystem.from_uri(path)
     size = store.get_file_info(base).size - skip
     if size % record:
         raise ValueError(f"{path} doesn't hold whole records")
@@ -106,7 +108,7 @@ def _ranges(spark: SparkSession, path: str, record: int, skip: int, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column(0).to_pylist():
-                own, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                own, at = fs.FileSystem.from_uri(path)
                 with own.open_input_file(at) as f:
                     f.seek(skip + k * step * record)
                     data = f.read(min(step, size // record - k * step) * record)
@@ -117,7 +119,7 @@ def _ranges(spark: SparkSession, path: str, record: int, skip: int, schema: str,
 
 def _binary_parts(spark: SparkSession, path: str, kind: np.dtype, schema: str, decode: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
     """Fixed records of a file, or of all .bin files of a folder."""
-    path = path if "://" in path else f"file://{path}"
+    path = qualified(spark, path)
     store, base = fs.FileSystem.from_uri(path)
     root = path.removesuffix(base)
     info = store.get_file_info(base)
@@ -148,7 +150,8 @@ MAGIC, HEADER = b"HKDT", struct.Struct("<4s6Q")
 
 def read_binary_matrix(spark: SparkSession, path: str, value: str = "<f8") -> tuple[DataFrame, int, int]:
     """(matrix, rows, columns) of a headed file of (row, col, val) records with 64-bit indices."""
-    store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    path = qualified(spark, path)
+    store, base = fs.FileSystem.from_uri(path)
     with store.open_input_file(base) as f:
         magic, _, size, _, m, n, nnz = HEADER.unpack(f.read(HEADER.size))
     kind = np.dtype([("r", "<i8"), ("c", "<i8"), ("v", value)])
@@ -167,10 +170,13 @@ def read_attributed_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((at(0).try_cast("long") - 1).alias("src"), (at(1).try_cast("long") - 1).alias("dst"), (at(2) != "0").alias("follower"), at(3).try_cast("short").alias("count"), F.when(at(3).try_cast("short") > 0, when).alias("latest")).where("src is not null and dst is not null")
 
 
+#: A packed attributed edge.
+ATTRIBUTED = np.dtype([("s", "<i8"), ("d", "<i8"), ("t", "<i8"), ("c", "<i2"), ("f", "u1")])
+
+
 def read_attributed_binary(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns of packed records: two 64-bit ids, 64-bit seconds, 16-bit count, a byte for follower."""
-    kind = np.dtype([("s", "<i8"), ("d", "<i8"), ("t", "<i8"), ("c", "<i2"), ("f", "u1")])
-    raw = _ranges(spark, path, kind.itemsize, 0, "src long, dst long, at long, count long, follower long", lambda x: [x["s"], x["d"], x["t"], x["c"].astype(np.int64), x["f"].astype(np.int64)], kind)
+    """The same columns of packed records: two 64-bit ids, 64-bit seconds, 16-bit count, a byte for follower; a file or a folder of .bin files."""
+    raw = _binary_parts(spark, path, ATTRIBUTED, "src long, dst long, at long, count long, follower long", lambda x: [x["s"], x["d"], x["t"], x["c"].astype(np.int64), x["f"].astype(np.int64)])
     return raw.select("src", "dst", (F.col("follower") != 0).alias("follower"), F.col("count").cast("short").alias("count"), F.when(F.col("count") > 0, F.timestamp_seconds("at")).alias("latest"))
 
 

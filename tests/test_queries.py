@@ -6,7 +6,6 @@ import pytest
 from meshwork.plans import queries as Q
 from meshwork.plans.graphs import TABLES
 
-SLOW = {"debruijn_counts", "cc_chain"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracle(spark, sf_dir, duck, name):
     df = Q.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)

@@ -93,3 +93,27 @@ def test_kronecker(spark):
     raw = generators.kronecker(spark, 9, 16, seed=3, permute=False, both=False)
     share = raw.where("src < 256 and dst < 256").count() / raw.count()
     assert abs(share - 0.57) < 0.03
+
+
+def test_a_header_after_many_comments_and_lines_of_many_fields(spark, tmp_path):
+    at = tmp_path / "a.mtx"
+    at.write_text("%%MatrixMarket matrix coordinate real general\n" + "% told\n" * 3000 + "2 2 1\n1 2 " + " ".join(map(str, range(1500))) + "\n")
+    a, m, n = readers.read_triples(spark, str(at), parse=lambda f: F.size(f))
+    assert (m, n) == (2, 2) and [tuple(r) for r in a.collect()] == [(0, 1, 1500)]
+    b, _, _ = readers.read_matrix_market(spark, str(at))
+    assert b.count() == 1
+
+
+def test_parts_instead_of_one_file(spark, tmp_path):
+    a = spark.createDataFrame([(i, i % 7, float(i)) for i in range(300)], "row long, col long, val double")
+    sinks.write_matrix_market(a, str(tmp_path / "m"), 300, 7, single=False)
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "m").glob("part-*")) == 302
+    g = a.select(F.col("row").alias("src"), (F.col("row") + 1).alias("dst"))
+    sinks.write_dot(g, str(tmp_path / "g"), single=False)
+    lines = [x for f in sorted((tmp_path / "g").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == "graph G {" and lines[-1] == "}" and lines[1:-1] == [f"{i} -- {i + 1};" for i in range(300)]
+
+
+def test_ids_that_do_not_fit_are_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="more than 32 bits"):
+        sinks.write_binary(spark.createDataFrame([(1, 1 << 33)], "src long, dst long"), str(tmp_path / "e"), 32)
