@@ -2,11 +2,12 @@
 
 Writing: a stream is STREAMINFO (with the MD5 of its samples), a SEEKTABLE with one point per frame, and frames
 of BLOCK samples (the last may be shorter). A frame is CONSTANT, VERBATIM, or has a linear predictor (FIXED of
-order 0 to 4, or LPC) and Rice residuals, whichever is least; it ends with its CRC-16, its header with a CRC-8.
+order 0 to 4, or LPC of order LPC_ORDER) and Rice residuals, whichever is least; it ends with its CRC-16, its header with a CRC-8.
 
 Reading: all frames that the seek tables name are decoded side by side, one sample of each a step; streams
 without a full table go frame after frame. Both checksums, the sample count and the MD5 are verified.
-PCM blocks come with the sample offset of their start, so that a reader may seek.
+PCM blocks come with the sample offset of their start, so that a reader may seek: op8 reads payloads and tails by them.
+A metadata block holds 2^24 bytes: streams of over 900,000 frames have no seek table and are read frame after frame.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLOCK, RATE, PAD = 1024, 8000, 64
 #: Bytes that are encoded at once, and frames that are decoded at once.
 SLICE, AT_ONCE = 1 << 20, 3000
 ORDERS = 5
-LPC_BITS = 12
+LPC_BITS, LPC_ORDER = 12, 4
 
 
 def _table(poly: int, width: int) -> np.ndarray:
@@ -77,23 +78,24 @@ def _header(number: int, samples: int) -> bytes:
     return head + bytes([crc])
 
 
-def _lpc(samples: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _lpc(samples: np.ndarray, starts: np.ndarray, frame: np.ndarray, inside: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(quantised coefficients by frame, residuals of all samples): least squares on the autocorrelation, shift LPC_BITS - 2."""
-    s = samples.astype(np.float64)
-    coef = np.zeros((len(starts), order), np.int64)
-    res = samples.astype(np.int64).copy()
-    for f, (a, n) in enumerate(zip(starts, sizes, strict=True)):
-        if n <= order:
-            continue
-        x = s[a : a + n]
-        r = np.array([x[: n - k] @ x[k:] for k in range(order + 1)])
-        m = r[np.abs(np.arange(order)[:, None] - np.arange(order))] + np.eye(order) * (1e-3 * r[0] + 1e-9)
-        top = (1 << (LPC_BITS - 1)) - 1
-        coef[f] = np.clip(np.round(np.linalg.solve(m, r[1:]) * (1 << (LPC_BITS - 2))), -top - 1, top)
-        y = samples[a : a + n].astype(np.int64)
-        p = sum(coef[f, k] * y[order - 1 - k : n - 1 - k] for k in range(order))
-        res[a + order : a + n] = y[order:] - (p >> (LPC_BITS - 2))
-    return coef, res
+    s = samples.astype(np.float32)
+    back = [s]
+    for k in range(1, order + 1):
+        # the sample k places before, 0 beyond the frame's start
+        d = np.zeros_like(s)
+        d[k:] = s[:-k]
+        d[inside < k] = 0
+        back.append(d)
+    r = np.stack([np.add.reduceat(s * d, starts, dtype=np.float64) for d in back])
+    lag = np.abs(np.arange(order)[:, None] - np.arange(order))
+    m = r[lag].transpose(2, 0, 1) + np.eye(order) * (1e-3 * r[0] + 1e-9)[:, None, None]
+    top = (1 << (LPC_BITS - 1)) - 1
+    coef = np.clip(np.round(np.linalg.solve(m, r[1:].T[:, :, None])[:, :, 0] * (1 << (LPC_BITS - 2))), -top - 1, top)
+    # 8-bit samples times 12-bit coefficients: sums of a few are whole numbers that 32-bit floats hold exactly
+    told = sum(coef[:, k].astype(np.float32)[frame] * back[k + 1] for k in range(order))
+    return coef.astype(np.int64), samples - (told.astype(np.int32) >> (LPC_BITS - 2))
 
 
 def _frames(data: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, block: int, lpc_order: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -117,9 +119,10 @@ def _frames(data: np.ndarray, lengths: np.ndarray, firsts: np.ndarray, block: in
     order = np.argmin(sums, axis=0)
     coef = None
     if lpc_order:
-        coef, lpc_res = _lpc(x, starts, sizes, lpc_order)
+        coef, lpc_res = _lpc(x, starts, frame, inside, lpc_order)
         lpc_sum = np.where(sizes > lpc_order, np.add.reduceat(np.where(inside >= lpc_order, np.abs(lpc_res), 0), starts), np.iinfo(np.int64).max)
-        use_lpc = lpc_sum < np.min(sums, axis=0)
+        # coefficients cost bits as well: about as many as their residuals must save
+        use_lpc = lpc_sum + LPC_BITS * lpc_order < np.min(sums, axis=0)
     else:
         use_lpc = np.zeros(len(starts), bool)
     r = res[0].astype(np.int64)
@@ -292,12 +295,16 @@ def _decode_frames(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray],
     for i in range(int(raw.max())):
         rows = np.flatnonzero(raw > i)
         out[rows, i] = signed(take(rows, 8))
-    coefs: dict[int, tuple[np.ndarray, int]] = {}
-    for f in np.flatnonzero(lpc).tolist():
-        one = np.array([f])
-        precision, shift = int(take(one, 4)[0]) + 1, int(take(one, 5)[0])
-        c = np.array([int(take(one, precision)[0]) for _ in range(warm[f])])
-        coefs[f] = (np.where(c >> (precision - 1), c - (1 << precision), c), shift)
+    coef, shift = np.zeros((len(n), int(np.max(warm, where=lpc, initial=1))), np.int64), np.zeros(len(n), np.int64)
+    for o in np.unique(warm[lpc]).tolist():
+        mine = np.flatnonzero(lpc & (warm == o))
+        precision = take(mine, 4) + 1
+        shift[mine] = take(mine, 5)
+        for width in np.unique(precision).tolist():
+            some = mine[precision == width]
+            for j in range(o):
+                c = take(some, width)
+                coef[some, j] = np.where(c >> (width - 1), c - (1 << width), c)
     coded = np.flatnonzero(fixed | lpc)
     if len(coded):
         if (take(coded, 6) != 0).any():
@@ -346,12 +353,14 @@ def _decode_frames(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray],
                 for start in reversed(levels):
                     d = start + np.cumsum(d, axis=0)
                 out[rows[mine], o : o + len(d)] = d.T
-        for j, f in enumerate(rows.tolist()):
-            if f in coefs:
-                c, shift = coefs[f]
-                x, o = out[f], len(c)
-                for i in range(int(todo[j])):
-                    x[o + i] = res[i, j] + (int(c @ x[o + i - 1 :: -1][:o]) >> shift)
+        for o in np.unique(first[lpc[rows]]).tolist():
+            # frames of one order go side by side, the longest first, a sample of each at a step
+            mine = np.flatnonzero(lpc[rows] & (first == o))
+            c, by, size = coef[rows[mine], :o].T[::-1].copy(), shift[rows[mine]], todo[mine]
+            x, r = np.ascontiguousarray(out[rows[mine]].T), res[:, mine]
+            for i, m in enumerate(np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()):
+                x[o + i, :m] = r[i, :m] + (np.einsum("jm,jm->m", c[:, :m], x[i : o + i, :m]) >> by[:m])
+            out[rows[mine]] = x.T
     ends = np.empty(len(n), np.int64)
     ends[order] = (pos + 7 >> 3) + 2
     back = np.argsort(order)
@@ -393,8 +402,28 @@ def decode(medias: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     return blocks
 
 
+class Pcm:
+    """Written PCM blocks of one stream (signed 8-bit samples) and the sample offset of each, which a reader seeks by."""
+
+    def __init__(self, blocks: list[tuple[int, np.ndarray]]):
+        self.offsets = np.array([o for o, _ in blocks], np.int64)
+        self.blocks = [x.astype(np.int8).tobytes() for _, x in blocks]
+        self.total = int(self.offsets[-1]) + len(self.blocks[-1])
+        if (np.cumsum([0, *map(len, self.blocks[:-1])]) != self.offsets).any():
+            raise ValueError("blocks don't follow each other")
+
+    def read(self, start: int, count: int) -> bytes:
+        """The payload's bytes of so many samples from one on; only the blocks that hold them are touched."""
+        at = int(np.searchsorted(self.offsets, start, "right")) - 1
+        skip = start - int(self.offsets[at])
+        end = int(np.searchsorted(self.offsets, start + count, "left"))
+        joined = b"".join(self.blocks[at:end])[skip : skip + count]
+        return (np.frombuffer(joined, np.uint8) ^ 0x80).tobytes()
+
+
 def payload_of(blocks: list[tuple[int, np.ndarray]]) -> bytes:
-    return (np.concatenate([x for _, x in blocks]) + 128).astype(np.uint8).tobytes()
+    pcm = Pcm(blocks)
+    return pcm.read(0, pcm.total)
 
 
 def padded(text: bytes) -> bytes:
@@ -431,7 +460,7 @@ def store(docs: DataFrame) -> DataFrame:
         for b in batches:
             raw = b.column(1).to_pylist()
             for part in _parts([len(r) for r in raw], 2 * SLICE):
-                media = encode([padded(r) for r in raw[part]])
+                media = encode([padded(r) for r in raw[part]], lpc_order=LPC_ORDER)
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array([len(r) for r in raw[part]], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return _bytes(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -459,10 +488,11 @@ def read_back(media: DataFrame) -> DataFrame:
         for b in batches:
             stored = b.column(2).to_pylist()
             for part in _parts([len(m) for m in stored], 3 * SLICE):
-                got = [payload_of(x) for x in decode(stored[part])]
+                pcm = [Pcm(x) for x in decode(stored[part])]
+                got = [x.read(0, x.total) for x in pcm]
                 cols = [
                     pa.array([len(p) for p in got], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in got]),
-                    pa.array([zlib.crc32(p[-PAD:]) for p in got], pa.int64()), pa.array([len(m) for m in stored[part]], pa.int64()),
+                    pa.array([zlib.crc32(x.read(x.total - PAD, PAD)) for x in pcm], pa.int64()), pa.array([len(m) for m in stored[part]], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in stored[part]]), pa.array([features(p) for p in got]),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], *cols], names)
