@@ -14,7 +14,8 @@ those of few keys first: near copies mostly meet there, and the many keys of the
 hold fingerprints of different components. In a round
 
 1. a partial aggregate finds the keys that hold several components, and the smallest fingerprint of each (its hub);
-2. all other members are compared with their hub, a number of pairs that is linear in the group; what is near is merged;
+2. all other members are compared with their hub, a number of pairs that is linear in the group; what is near is merged.
+   A sieve of fixed size, a bit for each place of a hashed key, keeps most keys without a hub out of that join's shuffle;
 3. keys whose other members are still in several components are torn. Of these only members outside the component
    that has most of the key are taken, and compared with the members of other components with which they agree in
    one of five parts of the fingerprint, as two at most 4 bits apart must. An outlier in a group of n near copies costs
@@ -34,17 +35,21 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm import golay
 from meshwork.operators.components import contract_components
-from meshwork.session import cut
+from meshwork.session import cut, cut_counted
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 BLOCK = 1 << 15
-#: Fingerprints whose keys one task makes; the key cases in the order in which they are taken, those of few keys first.
+#: Fingerprints whose keys one task makes.
 PER_TASK = 20_000
+#: A sieve of keys has 2^25 bits, four megabytes.
+SIEVE_BITS = 25
+#: The key cases in the order in which they are taken, those of few keys first.
 ROUNDS = ((3, 4, 9, 10, 11, 12), (1, 2, 5, 6, 7, 8))
 
 
@@ -118,8 +123,29 @@ def key_rows(fp: np.ndarray, cases: tuple[int, ...] = tuple(range(1, 13))) -> tu
     return np.concatenate([k for k, _ in parts]), np.concatenate([r for _, r in parts])
 
 
-def _keys(nodes: DataFrame, cases: tuple[int, ...]) -> DataFrame:
-    """(key, fp, comp) for nodes (fp, comp); a comp that is fp itself is null, for the shuffle's sake."""
+def _place(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where a key stands in a sieve of 2^bits places."""
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sieve(keys: DataFrame, log: int) -> np.ndarray:
+    """A bit for each place that a key of (key) has: 2^log of them, whatever the number of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << log, bool)
+        for b in batches:
+            bits[_place(b.column(0).to_numpy(zero_copy_only=False), log)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << log - 3, np.uint8)
+    for r in keys.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _keys(nodes: DataFrame, cases: tuple[int, ...], sieve: Broadcast | None = None) -> DataFrame:
+    """(key, fp, comp) for nodes (fp, comp); a comp that is fp itself is null, for the shuffle's sake. With a sieve, keys that
+    it doesn't hold stay out; some that it shouldn't hold come through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,6 +153,10 @@ def _keys(nodes: DataFrame, cases: tuple[int, ...]) -> DataFrame:
             for at in range(0, len(fps), 1000):
                 part, comp = fps[at : at + 1000], comps[at : at + 1000]
                 key, row = key_rows(part, cases)
+                if sieve is not None:
+                    place = _place(key, (8 * len(sieve.value)).bit_length() - 1)
+                    held = sieve.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+                    key, row = key[held], row[held]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(comp[row], mask=(comp == part)[row])], ["key", "fp", "comp"])
 
     # a fingerprint makes up to 2,500 bytes of keys: what one task reads is set by their number, not by the files' size
@@ -144,9 +174,11 @@ def met(nodes: DataFrame, cases: tuple[int, ...], distance: int) -> DataFrame:
     """
     own = F.coalesce("comp", "fp")
     per = _keys(nodes, cases).groupBy("key").agg(F.min("fp").alias("hub"), F.min_by(own, F.col("fp")).alias("hub_comp"), F.min(own).alias("lo"), F.max(own).alias("hi"), F.count(F.lit(1)).alias("n"))
-    hubs = cut(per.where("lo <> hi").select("key", "hub", "hub_comp", (F.col("n") > 2).alias("more")))
+    hubs, n = cut_counted(per.where("lo <> hi").select("key", "hub", "hub_comp", (F.col("n") > 2).alias("more")))
+    # what meets no hub needn't be shuffled to find that out; beyond as many hubs as the sieve has places it would hold everything
+    sieve = nodes.sparkSession.sparkContext.broadcast(_sieve(hubs.select("key"), SIEVE_BITS)) if n < 1 << SIEVE_BITS else None
     links = _near("fp", "hub", distance) & (own != F.col("hub_comp"))
-    rows = _keys(nodes, cases).join(hubs.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("fp") != F.col("hub")) & (F.col("more") | links))
+    rows = _keys(nodes, cases, sieve).join(hubs.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("fp") != F.col("hub")) & (F.col("more") | links))
     return rows.select("key", "fp", own.alias("comp"), "hub_comp", links.alias("near"), "more")
 
 

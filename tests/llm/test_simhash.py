@@ -136,6 +136,15 @@ def test_an_outlier_in_a_dense_group_costs_a_line_not_a_square(spark):
         assert groups(lambda i: got[signed(fps[i])]) == groups(want.get)
 
 
+def test_a_full_sieve_and_none_give_the_same_components(spark, monkeypatch):
+    fps = {i: brute(t) for i, t in enumerate(near_texts(9))}
+    df = spark.createDataFrame([(i, signed(f)) for i, f in fps.items()], "doc_id long, fp long")
+    want = {tuple(r) for r in simhash.components(df).collect()}
+    for bits in (12, 3):  # most places taken; fewer places than hubs: no sieve
+        monkeypatch.setattr(simhash, "SIEVE_BITS", bits)
+        assert {tuple(r) for r in simhash.components(df).collect()} == want
+
+
 def test_dedup_loses_no_text(spark):
     """Two unrelated texts under one doc_id both stay; copies without a doc_id are copies; identical rows leave one."""
     d = "doc_id long, text string, tags map<string,string>"
