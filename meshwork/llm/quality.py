@@ -6,8 +6,10 @@ bounded sample (SAMPLE of either class, the first by a hash of doc_id, features
 In every round each view labels all unlabelled documents of which it is sure, and these join the other view's
 training set: their features stay in Spark, where every Newton step (STEPS at most in a round, from the last round's
 weights) sums loss, gradient and curvature, by partition and then by groups of partitions. Both views are then calibrated (Platt) on labelled rows that neither was
-trained on, and a logistic regression over the calibrated logits combines them. Scoring all documents is one
-SQL expression: no shuffle, no Python.
+trained on, and a logistic regression over the calibrated logits combines them. Features of every text are made once
+and kept (under 600 bytes a document, as 32-bit floats): labelled rows are taken out of them, not of the
+texts, by one join on ids that shuffles features only, and `classify` scores them as they are. `score`, for models at
+hand, is one SQL expression: no shuffle, no Python.
 
 Defined results: null text counts as empty, null metadata as a category of its own, null n_chars as 0; rows
 of labels without a label are ignored; without labels of both classes every document scores the base rate
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshwork.llm.text import settled, word_array
-from meshwork.session import cut
+from meshwork.session import cut, release
 
 #: Labelled rows of each class; rounds; least certainty of a label that a view passes on.
 SAMPLE, ROUNDS, STEPS, SURE = 8000, 3, 4, 0.95
@@ -35,6 +37,7 @@ SAMPLE, ROUNDS, STEPS, SURE = 8000, 3, 4, 0.95
 WORDS, DAMP = 128, 20.0
 KEEP_FROM = 0.3
 BUCKETS = {"source": 64, "lang": 16}
+FEATURED = "__mw_id long, x binary, size double, source int, lang int"
 TEXT = ("words", "word_chars", "symbols", "upper", "line_words", "distinct", "letters", "digits", "stops", "repeats")
 
 
@@ -68,7 +71,8 @@ def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """(__mw_id, x, size, source, lang): x holds TEXT and the shares of WORDS buckets as 32-bit floats."""
+    """(__mw_id, x, size, source, lang, doc_id): x holds TEXT and the shares of WORDS buckets as 32-bit floats."""
+    schema = T.StructType([*T.StructType.fromDDL(FEATURED).fields, docs.schema["doc_id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,11 +82,11 @@ def featured(docs: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(b.num_rows), n) * WORDS + lists.flatten().to_numpy(zero_copy_only=False)
             shares = np.bincount(at, minlength=b.num_rows * WORDS).reshape(b.num_rows, WORDS) / (n + DAMP)[:, None]
             x = np.hstack([surface, shares]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([row.tobytes() for row in x], pa.binary()), *b.columns[3:]], ["__mw_id", "x", "size", "source", "lang"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([row.tobytes() for row in x], pa.binary()), *b.columns[3:]], schema.names)
 
     rows = docs.withColumns({"__mw_id": F.col("doc_id").cast("long"), "__mw_meta": meta_features(docs.columns)})
-    rows = text_features(rows, ["__mw_id", "__mw_meta"])
-    return rows.select("__mw_id", "__mw_text_x", F.transform("__mw_w", _bucket).alias("b"), "__mw_meta.*").mapInArrow(run, "__mw_id long, x binary, size double, source int, lang int")
+    rows = text_features(rows, ["__mw_id", "__mw_meta", "doc_id"])
+    return rows.select("__mw_id", "__mw_text_x", F.transform("__mw_w", _bucket).alias("b"), "__mw_meta.*", "doc_id").mapInArrow(run, schema)
 
 
 def _matrix(x: list[bytes] | pa.Array) -> np.ndarray:
@@ -126,6 +130,15 @@ class Model:
         return t, m
 
 
+    def scores(self, x: np.ndarray, size: np.ndarray, source: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, that of the text view and that of the metadata view, each row's sum in one order whatever its batch."""
+        clip = lambda z: np.clip(z, -30, 30)
+        t = clip(self.text_bias + (x * np.array(self.text)).sum(1))
+        m = clip(self.meta_bias + self.size[0] * size + self.size[1] * size * size + np.array(self.source)[source] + np.array(self.lang)[lang])
+        a, b, c = self.combine
+        return tuple(1 / (1 + np.exp(-z)) for z in (clip(a * t + b * m + c), t, m))
+
+
 def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Loss, gradient and curvature at w (bias last) in one array."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -249,7 +262,15 @@ def _summed(pool: DataFrame, mean: np.ndarray, dev: np.ndarray) -> Callable[[lis
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | float:
     """A model, or the base rate where labels hold fewer than two classes."""
-    spark = docs.sparkSession
+    features = cut(featured(docs))
+    model = learn(features, labels, label, sample)
+    release(features)
+    return model
+
+
+def learn(features: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | float:
+    """fit, from features that are kept."""
+    spark = features.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     by = F.xxhash64("doc_id", F.lit(7))
     marked: dict[int, int] = {}
@@ -261,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         marked |= dict.fromkeys(found, r.y)
         share[r.y] = r.n / len(found)
     wanted = spark.createDataFrame([(i,) for i in sorted(marked)] or [(-1,)], T.StructType([T.StructField("__mw_wanted", T.LongType())]))
-    rows = featured(docs.join(F.broadcast(wanted), F.col("doc_id").cast("long") == F.col("__mw_wanted")))
+    rows = features.join(F.broadcast(wanted), F.col("__mw_id") == F.col("__mw_wanted"))
     # of rows that share a doc_id one: the bound of the sample holds for what comes to the driver
     data = rows.groupBy("__mw_id").agg(F.min(F.struct("x", "size", "source", "lang")).alias("r")).select("__mw_id", "r.*").orderBy("__mw_id").toPandas()
     if not len(data):
@@ -282,9 +303,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     side = np.array([(int(i) * 2654435761 >> 7) % 4 == 0 for i in data["__mw_id"]])
     if len(np.unique(y[has & side])) < 2 or len(np.unique(y[has & ~side])) < 2:
         return rate
-    others = docs.join(known.select(F.col("doc_id").alias("__mw_known")).distinct(), F.col("doc_id").cast("long") == F.col("__mw_known"), "left_anti")
-    pool = cut(featured(others).drop("__mw_id"))
+    # rows without an id have no label, and would all meet in one task of the join; the join is the same at every size
+    known = known.select(F.col("doc_id").alias("__mw_known")).distinct().hint("merge")
+    others = features.where("__mw_id is not null").join(known, F.col("__mw_id") == F.col("__mw_known"), "left_anti")
+    pool = cut(others.unionAll(features.where("__mw_id is null")).select("x", "size", "source", "lang"))
     (wt, wm), wc = co_train((x[has], meta[has]), y[has], _summed(pool, mean, dev), side[has], weight[has])
+    release(pool)
     raw = wt[:-1] / dev
     s, la = BUCKETS["source"], BUCKETS["lang"]
     return Model([float(w) for w in raw], float(wt[-1] - raw @ mean), (float(wm[0] / 5), float(wm[1] / 50)), [float(w) for w in wm[2 : 2 + s]], [float(w) for w in wm[2 + s : 2 + s + la]], float(wm[-1]), (float(wc[0]), float(wc[1]), float(wc[2])))
@@ -310,10 +334,18 @@ def score(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, score, text_score, meta_score, kept) for every row of docs."""
-    model = fit(docs, labels)
-    rows = score(docs, model, ["doc_id"])
-    kept = F.col("__mw_score") >= keep_from if isinstance(model, Model) else F.lit(True)
-    return rows.select("doc_id", F.col("__mw_score").alias("score"), F.col("__mw_text_score").alias("text_score"), F.col("__mw_meta_score").alias("meta_score"), kept.alias("kept"))
+    features = cut(featured(docs))
+    model = learn(features, labels)
+    if not isinstance(model, Model):
+        return features.select("doc_id", *(F.lit(float(model)).alias(c) for c in ("score", "text_score", "meta_score")), F.lit(True).alias("kept"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = model.scores(_matrix(b.column(1)), *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found), pa.array(found[0] >= keep_from)], schema.names)
+
+    schema = T.StructType([features.schema["doc_id"], *T.StructType.fromDDL("score double, text_score double, meta_score double, kept boolean").fields])
+    return features.select("doc_id", "x", "size", "source", "lang").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
