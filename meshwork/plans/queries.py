@@ -12,7 +12,7 @@ from meshwork.functions import semiring as S
 from meshwork.operators import bfs, centrality, components, edges, independent, matching, relabel
 from meshwork.operators import matrix as M
 from meshwork.operators import vector as V
-from meshwork.plans.graphs import EDGES, MATRICES, VECTORS, WHOLE, Source
+from meshwork.plans.graphs import EDGES, FILTERED, MATRICES, VECTORS, WHOLE, Source
 from meshwork.session import cut, work_folder
 from meshwork.sources import generators, readers, sinks
 
@@ -39,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _sql(template: str, whole: bool = False) -> str:
     """Names in braces become subqueries of the derived graphs, matrices and vectors."""
-    for group in (WHOLE,) * whole + (EDGES, MATRICES, VECTORS):
+    for group in (WHOLE,) * whole + (EDGES, MATRICES, VECTORS, FILTERED):
         for name, source in group.items():
             template = template.replace("{" + name + "}", f"({source.sql})")
     return template
@@ -115,7 +115,7 @@ q("cc_hybrid_giant", lambda g: bfs.connected_components(g, "hybrid"), e("part_su
 q("cc_count", lambda g: edges.component_count(components.contract_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT count(DISTINCT l) AS n FROM cc")
 q("cc_sizes", lambda g: edges.component_sizes(components.contract_components(g)), e("order_part"), sql=_cc("order_part") + "SELECT l AS component, count(*) AS n FROM cc GROUP BY l")
 q("cc_size_histogram", lambda g: edges.component_sizes(components.contract_components(g)).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("n")), e("order_part"), sql=_cc("order_part") + "SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM cc GROUP BY l) GROUP BY size")
-q("cc_largest_vertices", lambda g: edges.component_sizes(components.contract_components(g)).agg(F.max("n").alias("n")), e("order_part_dense"), sql=_cc("order_part_dense") + "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM cc GROUP BY l)")
+q("cc_largest_vertices", lambda g: edges.component_sizes(components.contract_components(g)).agg(F.max("n").alias("n")), e("order_part"), sql=_cc("order_part") + "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM cc GROUP BY l)")
 q("cc_largest_edges", lambda g: edges.largest_component_edges(components.contract_components(g), components.symmetrise(g)), e("order_part"), sql=_cc("order_part") + f"SELECT max(n) AS n FROM (SELECT count(*) // 2 AS n FROM {_sym('order_part')} s JOIN cc ON s.src = cc.v GROUP BY cc.l)")
 
 # searches: GA-2, GA-7..10, GA-20, JN-1, JN-2, AG-5
@@ -141,13 +141,13 @@ _FIRST = _cc("order_part") + "SELECT cast(0 AS bigint) AS run, count(*) AS n FRO
 q("bfs_peel_first", _peel, e("order_part"), sql=_FIRST)
 q("bfs_peel_three", lambda g: _peel(g, 3), e("order_part"), sql=_cc("order_part") + "SELECT row_number() OVER (ORDER BY l) - 1 AS run, n FROM (SELECT l, count(*) AS n FROM cc GROUP BY l ORDER BY l LIMIT 3)")
 q("edges_left_after_bfs", _left, e("order_part"), sql=_cc("order_part") + f"SELECT s.src, s.dst FROM {_sym('order_part')} s JOIN cc ON s.src = cc.v WHERE cc.l <> (SELECT min(l) FROM cc)")
-_LV = _levels("order_part_dense", _MIN % ("order_part_dense", "order_part_dense"))
+_LV = _levels("order_part", _MIN % ("order_part", "order_part"))
 for _name, _args in {"bfs_levels": {"symmetric": True}, "bfs_levels_any_edges": {}, "bfs_levels_direction_optimising": {"direction_optimising": True}}.items():
-    q(_name, lambda g, a=_args: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), **a).select("vertex", "level"), e("order_part_dense"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
-q("bfs_parents", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), symmetric=True), e("order_part_dense"), sql=_LV + f"SELECT t.v AS vertex, coalesce(min(p.v), t.v) AS parent, t.l AS level FROM t LEFT JOIN {_sym('order_part_dense')} s ON s.dst = t.v LEFT JOIN t p ON p.v = s.src AND p.l = t.l - 1 GROUP BY t.v, t.l")
-q("bfs_random_parent_levels", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), pick=bfs.random_parent(5)).select("vertex", "level"), e("order_part_dense"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
-q("bfs_single_child", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), single_child=True), e("order_part_dense"))
-q("expand_frontier", lambda g, f: bfs.expand_frontier(g, f.select((2 * F.col("idx")).alias("vertex"))), e("order_part_dense"), v("orders"), sql="SELECT g.dst AS vertex, min(g.src) AS parent FROM {order_part_dense} g JOIN {orders} f ON g.src = 2 * f.idx GROUP BY g.dst")
+    q(_name, lambda g, a=_args: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), **a).select("vertex", "level"), e("order_part"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
+q("bfs_parents", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), symmetric=True), e("order_part"), sql=_LV + f"SELECT t.v AS vertex, coalesce(min(p.v), t.v) AS parent, t.l AS level FROM t LEFT JOIN {_sym('order_part')} s ON s.dst = t.v LEFT JOIN t p ON p.v = s.src AND p.l = t.l - 1 GROUP BY t.v, t.l")
+q("bfs_random_parent_levels", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), pick=bfs.random_parent(5)).select("vertex", "level"), e("order_part"), sql=_LV + "SELECT v AS vertex, l AS level FROM t")
+q("bfs_single_child", lambda g: bfs.bfs_tree(cut(components.symmetrise(g).distinct()), _root(g), single_child=True), e("order_part"))
+q("expand_frontier", lambda g, f: bfs.expand_frontier(g, f.select((2 * F.col("idx")).alias("vertex"))), e("order_part"), v("orders"), sql="SELECT g.dst AS vertex, min(g.src) AS parent FROM {order_part} g JOIN {orders} f ON g.src = 2 * f.idx GROUP BY g.dst")
 
 
 def _verified(g: DataFrame) -> DataFrame:
@@ -156,16 +156,16 @@ def _verified(g: DataFrame) -> DataFrame:
     return bfs.verify_bfs_tree(bfs.bfs_tree(both, root, symmetric=True), both, root)
 
 
-q("bfs_verified", _verified, e("order_part_dense"), sql=_LV + f"SELECT cast(0 AS bigint) AS code, count(*) AS n FROM {_sym('order_part_dense')} s JOIN t ON s.src = t.v")
+q("bfs_verified", _verified, e("order_part"), sql=_LV + f"SELECT cast(0 AS bigint) AS code, count(*) AS n FROM {_sym('order_part')} s JOIN t ON s.src = t.v")
 
 
 def _filtered(s: SparkSession, d: str) -> DataFrame:
     g = s.read.parquet(f"{d}/lineitem.parquet").select((2 * F.col("l_orderkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"), F.col("l_quantity").alias("q"))
     both = g.select("src", "dst", "q").unionAll(g.select("dst", "src", "q"))
-    return bfs.filtered_bfs(both, F.col("q") >= 40, _root(EDGES["order_part_dense"](s, d))).select("vertex", "level")
+    return bfs.filtered_bfs(both, F.col("q") >= 40, _root(FILTERED["large_deliveries"](s, d))).select("vertex", "level")
 
 
-query("bfs_filtered", _filtered, _sql(_LV + "SELECT v AS vertex, l AS level FROM t"))
+query("bfs_filtered", _filtered, _sql(_levels("large_deliveries", _MIN % ("large_deliveries", "large_deliveries")) + "SELECT v AS vertex, l AS level FROM t"))
 q("visited_edge_removal", lambda g, f: edges.drop_visited(g, f.select((2 * F.col("idx")).alias("vertex"))), e("order_part"), v("orders"), sql="SELECT g.src, g.dst FROM {order_part} g WHERE g.src NOT IN (SELECT 2 * idx FROM {orders})")
 
 # edges: PRJ-1..5, WN-1..4, AG-6, AG-7, AG-16, GA-22
@@ -177,8 +177,8 @@ q("symmetry_check_directed", edges.is_symmetric, e("order_part"), sql="SELECT co
 q("degree", lambda g: edges.degrees(components.symmetrise(g)), e("part_supplier"), sql=f"SELECT src AS vertex, count(DISTINCT dst) AS degree FROM {_sym('part_supplier')} WHERE src <> dst GROUP BY src")
 q("degree_multi", lambda g: edges.degrees(components.symmetrise(g), distinct=False, loops=True), e("part_supplier"), sql=f"SELECT src AS vertex, count(*) AS degree FROM {_sym('part_supplier')} GROUP BY src")
 q("degree_directed", edges.directed_degrees, e("event_chain"), sql="SELECT vertex, cast(sum(o) AS bigint) AS out_degree, cast(sum(i) AS bigint) AS in_degree, cast(sum(o + i) AS bigint) AS degree FROM (SELECT src AS vertex, 1 AS o, 0 AS i FROM {event_chain} UNION ALL SELECT dst, 0, 1 FROM {event_chain}) GROUP BY vertex")
-q("degree_histogram", lambda g: edges.degree_distribution(components.symmetrise(g)), e("order_part_dense"), sql=f"SELECT degree, count(*) AS n FROM (SELECT count(DISTINCT dst) AS degree FROM {_sym('order_part_dense')} GROUP BY src) GROUP BY degree")
-q("degree_power_law", lambda g: g.sparkSession.createDataFrame([(round(edges.degree_ks(components.symmetrise(g)), 6),)], "d double"), e("order_part_dense"))
+q("degree_histogram", lambda g: edges.degree_distribution(components.symmetrise(g)), e("order_part"), sql=f"SELECT degree, count(*) AS n FROM (SELECT count(DISTINCT dst) AS degree FROM {_sym('order_part')} GROUP BY src) GROUP BY degree")
+q("degree_power_law", lambda g: g.sparkSession.createDataFrame([(round(edges.degree_ks(components.symmetrise(g)), 6),)], "d double"), e("order_part"))
 q("compact_ids", lambda g: relabel.compact_ids(g)[0], e("order_part"), sql="WITH ids AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT src AS x FROM {order_part} UNION SELECT dst FROM {order_part})) SELECT a.i AS src, b.i AS dst FROM {order_part} g JOIN ids a ON g.src = a.x JOIN ids b ON g.dst = b.x")
 q("compact_mapping", lambda g: relabel.compact_ids(g)[1], e("order_part"), sql="SELECT x AS vertex, row_number() OVER (ORDER BY x) - 1 AS id FROM (SELECT src AS x FROM {order_part} UNION SELECT dst FROM {order_part})")
 q("hash_ids_round_trip", lambda g: g.select(hashing.unmix64(hashing.mix64(F.col("src"))).alias("src"), "dst"), e("order_part"), sql="SELECT src, dst FROM {order_part}")
@@ -333,8 +333,7 @@ for _name, _sr, _agg in (
 _TOP = (1 << 63) - 1
 q("spmspv_min_plus_saturating", lambda a, x: M.spmv(a, x.select("idx", F.lit(_TOP - 20).alias("val")), S.MIN_PLUS), m("a"), v("x"), sql=f"SELECT a.row AS idx, cast(min(least(a.val::hugeint + {_TOP - 20}, {_TOP})) AS bigint) AS val FROM {{a}} a JOIN {{x}} x ON a.col = x.idx GROUP BY a.row")
 q("spmspv_random", lambda a, x: M.spmv(a, x, S.select_random(3)), m("a"), v("x"))
-for _end, _x in {"": v("x"), "_whole": v("x").whole}.items():
-    query(f"spmv_dense{_end}", lambda s, d, x=_x: M.spmv(MATRICES["a"](s, d), V.densify(x(s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i", bool(_end)))
+query("spmv_dense", lambda s, d: M.spmv(MATRICES["a"](s, d), V.densify(VECTORS["x"](s, d), _n(s, d, "supplier")), n=_n(s, d, "part")), _sql("SELECT r.i AS idx, coalesce(t.val, 0) AS val FROM (SELECT unnest(range((SELECT count(*) + 1 FROM part))) AS i) r LEFT JOIN (SELECT a.row, cast(sum(a.val * coalesce(x.val, 0)) AS bigint) AS val FROM {a} a LEFT JOIN {x} x ON a.col = x.idx GROUP BY a.row) t ON t.row = r.i", bool(_end)))
 _MM = "SELECT a.row, s.col, {agg} AS val FROM {{a}} a JOIN {{s}} s ON a.col = s.row GROUP BY a.row, s.col"
 q("spgemm", M.spgemm, m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
 q("spgemm_layers", lambda a, b: M.spgemm(a, b, layers=4), m("a"), m("s"), sql=_MM.replace("{agg}", "cast(sum(a.val * s.val) AS bigint)").replace("{{", "{").replace("}}", "}"))
@@ -380,7 +379,7 @@ def _galerkin(g: DataFrame) -> DataFrame:
 
 
 q("amg_galerkin", _galerkin, e("order_part"), sql=f"SELECT true AS same, count(*) AS total FROM {_sym('order_part')}")
-q("betweenness", lambda g: (lambda b: centrality.betweenness(b, b.select(F.col("src").alias("vertex")).distinct()).select("vertex", F.round("score", 6).alias("score")))(cut(components.symmetrise(g))), e("order_part"))
+q("betweenness", lambda g: (lambda b: centrality.betweenness(b, b.select(F.col("src").alias("vertex")).distinct()).select("vertex", F.round("score", 6).alias("score")))(cut(components.symmetrise(g))), e("customer_order"), sql="SELECT v AS vertex, cast(k * (k - 1) AS double) AS score FROM (SELECT src AS v, count(*) AS k FROM {customer_order} GROUP BY src) UNION ALL SELECT dst, 0.0::double FROM {customer_order}")
 q("markov_clusters", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))), e("duplicate_documents"))
 q("markov_clusters_cover", lambda g: centrality.markov_clustering(M.from_edges(components.symmetrise(g))).agg(F.count_distinct("vertex").alias("n")), e("duplicate_documents"), sql="SELECT count(*) AS n FROM (SELECT src FROM {duplicate_documents} UNION SELECT dst FROM {duplicate_documents})")
 

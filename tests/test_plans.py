@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.functions.hashing import mix64
 from meshwork.operators import bfs, edges
 from meshwork.operators import matrix as M
-from meshwork.plans.graphs import EDGES, MATRICES, VECTORS
+from meshwork.plans.graphs import EDGES, FILTERED, MATRICES, VECTORS
 
 
 def plan(df):
@@ -19,8 +19,9 @@ def plan(df):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    text = plan(EDGES["order_part"](spark, sf_dir))
-    assert "GreaterThanOrEqual(l_quantity,49.0)" in text
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan(EDGES["order_part"](spark, sf_dir))
+    text = plan(FILTERED["large_deliveries"](spark, sf_dir))
+    assert "GreaterThanOrEqual(l_quantity,40.0)" in text
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in text
 
 
