@@ -17,9 +17,9 @@ hold fingerprints of different components. In a round
 2. all other members are compared with their hub, a number of pairs that is linear in the group; what is near is merged.
    A sieve of fixed size, a bit for each place of a hashed key, keeps most keys without a hub out of that join's shuffle;
 3. keys whose other members are still in several components are torn. Of these only members outside the component
-   that has most of the key are taken, and compared with the members of other components with which they agree in
-   one of five parts of the fingerprint, as two at most 4 bits apart must. An outlier in a group of n near copies costs
-   n comparisons at most; two members of the largest component never meet.
+   that has most of the key are taken, and compared with the members of other components: where they are FEW with all of
+   these, else with those with which they agree in one of five parts of the fingerprint, as two at most 4 bits apart must.
+   An outlier in a group of n near copies costs n comparisons at most; two members of the largest component never meet.
 
 No bucket is capped and no link between components is lost.
 
@@ -49,6 +49,9 @@ BLOCK = 1 << 15
 PER_TASK = 20_000
 #: A sieve of keys has 2^25 bits, four megabytes.
 SIEVE_BITS = 25
+#: Members of a torn key outside its main component up to which all others are compared with them: as many as a fingerprint has
+#: parts, so that no member takes part in more comparisons than it would have rows by parts.
+FEW = 5
 #: The key cases in the order in which they are taken, those of few keys first.
 ROUNDS = ((3, 4, 9, 10, 11, 12), (1, 2, 5, 6, 7, 8))
 
@@ -189,14 +192,24 @@ def _parts(fp: Column, of: int = 5) -> Column:
 
 
 def torn_pairs(rows: DataFrame) -> DataFrame:
-    """(fp, comp, fp2, comp2): what is left to compare of rows (key, fp, comp): pairs of different components in one key that
-    agree in one part of the fingerprint, at least one of the two outside the component that has most members in the key."""
+    """(fp, comp, fp2, comp2): what is left to compare of rows (key, fp, comp): pairs of different components in one key, at least
+    one of the two outside the component that has most members in the key. In keys with at most FEW members outside it that is
+    all of them, which are FEW to a member at most; in others those that agree in one part of the fingerprint."""
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    torn = cut(per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "most"))
-    held = rows.join(torn, F.col("key") == F.col("k")).select("key", "fp", "comp", "most", F.explode(_parts(F.col("fp"))).alias("p")).select("key", "fp", "comp", "most", "p.part", "p.bits")
-    a = held.where("comp <> most").select("key", "part", "bits", "fp", "comp")
-    b = held.select("key", "part", "bits", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("most")).alias("main"))
-    return a.join(b, ["key", "part", "bits"]).where("main or comp < comp2").select("fp", "comp", "fp2", "comp2")
+    per = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), (F.sum("n") - F.max("n")).alias("out"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    torn = cut(per.select(F.col("key").alias("k"), "most", (F.col("out") <= FEW).alias("few")), many=F.count_if(~F.col("few")))
+
+    def pairs(held: DataFrame, at: list[str]) -> DataFrame:
+        a = held.where("comp <> most").select(*at, "fp", "comp")
+        b = held.select(*at, F.col("fp").alias("fp2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("most")).alias("main"))
+        return a.join(b, at).where("main or comp < comp2").select("fp", "comp", "fp2", "comp2")
+
+    held = rows.join(torn, F.col("key") == F.col("k"))
+    out = pairs(held.where("few"), ["key"])
+    if torn.marks["many"]:
+        dealt = held.where("not few").select("key", "fp", "comp", "most", F.explode(_parts(F.col("fp"))).alias("p")).select("key", "fp", "comp", "most", "p.part", "p.bits")
+        out = out.unionAll(pairs(dealt, ["key", "part", "bits"]))
+    return out
 
 
 def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -136,6 +136,19 @@ def test_an_outlier_in_a_dense_group_costs_a_line_not_a_square(spark):
         assert groups(lambda i: got[signed(fps[i])]) == groups(want.get)
 
 
+def test_few_outliers_make_no_rows_by_parts(spark):
+    """Up to FEW members outside the main component of a key are compared as they are; with more, only those that share a part."""
+    plan = lambda n: (out := simhash.torn_pairs(torn(n)), out._jdf.queryExecution().executedPlan().toString())
+    torn = lambda n: spark.range(100).selectExpr("1L key", "id * 7919 fp", "0L comp").unionAll(spark.range(n).selectExpr("1L key", "id * 104729 + 3 fp", "id + 5 comp"))
+    for n in (1, simhash.FEW, simhash.FEW + 1, 40):
+        pairs, told = plan(n)
+        assert ("Generate" in told) == (n > simhash.FEW)
+        rows = [tuple(r) for r in torn(n).select("fp", "comp").collect()]
+        near = {(x, y) for x, c in rows for y, d in rows if c != d and (x ^ y).bit_count() <= 4}
+        got = {tuple(r) for r in pairs.where("bit_count(fp ^ fp2) <= 4").select("fp", "fp2").collect()}
+        assert got | {(y, x) for x, y in got} == near and near
+
+
 def test_a_full_sieve_and_none_give_the_same_components(spark, monkeypatch):
     fps = {i: brute(t) for i, t in enumerate(near_texts(9))}
     df = spark.createDataFrame([(i, signed(f)) for i, f in fps.items()], "doc_id long, fp long")
