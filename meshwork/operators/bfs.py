@@ -6,13 +6,12 @@ and one anti-join with what was visited; levels are parts of one table in the sh
 
 from __future__ import annotations
 
-import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.operators.components import contract_components, label_components, symmetrise
+from meshwork.operators.components import contract_components, label_components, sequential_components, symmetrise
 from meshwork.operators.edges import degree_ks, drop_visited
 from meshwork.session import Growing, cut, cut_counted
 
@@ -94,18 +93,20 @@ def bfs_peel(edges: DataFrame, n: int) -> tuple[list[int], DataFrame]:
 def connected_components(edges: DataFrame, method: str = "auto", doubling: bool = True, prune_stable: bool = True, bfs_runs: int = 1, symmetric: bool = False) -> DataFrame:
     """(vertex, component): component is its smallest vertex.
 
-    method: 'contract', 'sequential' (all edges in one task, for small graphs), 'label', 'hybrid' (bfs_runs searches, then contraction of what is left) or 'auto': one search first where the
+    method: 'contract', 'sequential' (union-find in one task, which holds the vertices), 'label', 'hybrid' (bfs_runs searches, then contraction of what is left) or 'auto': one search first where the
     degree distribution follows a power law (Kolmogorov-Smirnov D < 0.05), contraction alone otherwise. Directed edges give
     the weakly connected components.
     """
+    if method in ("contract", "sequential"):  # which take an edge either way
+        return (contract_components if method == "contract" else sequential_components)(edges.select("src", "dst"))
     both = edges.select("src", "dst") if symmetric else symmetrise(edges)
     if method == "label":
         return label_components(both, doubling, prune_stable)
     if method == "auto":
         both = cut(both)
         method = "hybrid" if degree_ks(both) < 0.05 else "contract"
-    if method in ("contract", "sequential"):
-        return contract_components(both, *((sys.maxsize,) if method == "sequential" else ()))
+    if method == "contract":
+        return contract_components(both)
     if method != "hybrid":
         raise ValueError(f"no method {method}")
     left, parts = cut(both), []

@@ -18,6 +18,10 @@ from meshwork.session import Growing, cut, cut_counted, release
 
 #: Edges, of 16 bytes, that one task labels.
 AT_HAND = 1 << 16
+#: Rows of forests that one task labels when asked to do so: their vertices and what joins them take half a gigabyte.
+SEQUENTIAL = 3 << 22
+#: Edges that a task takes at a time.
+BLOCK = 1 << 20
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -30,18 +34,78 @@ def _order(turn: int, vertex: str) -> Column:
     return F.xxhash64(F.lit(turn), vertex)
 
 
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex that each of 0..n-1 reaches over edges a - b: labels go down edges and are looked up through labels."""
+    label = np.arange(n)
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    return label
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(src, dst) of the batches, about size edges at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n >= size:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) that connect what the edges of a block do: each vertex and the least that it reaches there, one that is alone with itself."""
+    for src, dst in _blocks(batches):
+        names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        label = _least(at[: len(src)], at[len(src) :], len(names))
+        own = np.arange(len(names))
+        out = (label != own) | (np.bincount(label, minlength=len(names)) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[label[out]])], ["src", "dst"])
+
+
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vertex, root) of the edges at hand: labels go down edges and are looked up through labels until nothing moves."""
-    src, dst = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True))
-    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)], at[len(src) :]
-    label = np.arange(len(names))
-    while (label[a] != label[b]).any():
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, np.concatenate([label[a], label[b]]), np.concatenate([low, low]))
-        while (label != label[label]).any():
-            label = label[label]
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["vertex", "root"])
+    """(vertex, root) of the edges at hand. What is held are the vertices and their roots, 12 bytes each, and one block of edges;
+    a block joins the roots of its ends."""
+    names, root = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    for src, dst in _blocks(batches):
+        ends, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        place = np.searchsorted(names, ends)
+        new = np.ones(len(ends), bool)
+        inside = place < len(names)
+        new[inside] = names[place[inside]] != ends[inside]
+        if new.any():
+            # where the vertices that are there move to, by how many new ones come before them
+            to = np.bincount(place[new], minlength=len(names) + 1)[: len(names)].cumsum(dtype=np.int32)
+            to += np.arange(len(names), dtype=np.int32)
+            merged, above = np.empty(len(names) + int(new.sum()), np.int64), np.arange(len(names) + int(new.sum()), dtype=np.int32)
+            fresh = np.ones(len(merged), bool)
+            merged[to], above[to], fresh[to] = names, to[root], False
+            merged[fresh] = ends[new]
+            names, root = merged, above
+            place = np.searchsorted(names, ends)
+        tops, of = np.unique(root[place], return_inverse=True)
+        label = tops[_least(of[at[: len(src)]], of[at[len(src) :]], len(tops))]
+        if (label != tops).any():
+            up = np.arange(len(names), dtype=np.int32)
+            up[tops] = label
+            root = up[root]
+    for k in range(0, len(names), BLOCK):
+        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + BLOCK]), pa.array(names[root[k : k + BLOCK]])], ["vertex", "root"])
+
+
+def sequential_components(edges: DataFrame, most: int = SEQUENTIAL) -> DataFrame:
+    """Union-find in one task, over blocks' spanning forests in place of the edges.
+
+    The task holds the vertices, not the edges. Beyond most rows of forests, what would not fit a task is contracted first.
+    """
+    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    return contract_components(ends.mapInArrow(_forest, "src long, dst long"), most)
 
 
 def contract_components(edges: DataFrame, at_hand: int = AT_HAND, max_rounds: int = 500) -> DataFrame:

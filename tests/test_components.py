@@ -1,12 +1,15 @@
 """The connectivity fixtures: chains, three components, peeling, against union-find."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.operators import bfs, edges
+from meshwork.operators import bfs, components, edges
 from meshwork.operators.components import contract_components, symmetrise
 from meshwork.session import Growing, cut, release
 
@@ -159,3 +162,37 @@ def test_component_measures(spark):
     cc = bfs.connected_components(df)
     assert edges.largest_component_edges(cc, symmetrise(df)).first().n == 4
     assert {(r.component, r.n) for r in edges.component_sizes(cc).collect()} == {(2, 4), (5, 4), (50, 3)}
+
+
+def batches_of(pairs, size):
+    for k in range(0, len(pairs), size):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + size, 0]), pa.array(pairs[k : k + size, 1])], ["src", "dst"])
+
+
+def test_one_task_holds_vertices_not_edges(spark, monkeypatch):
+    """Blocks in any order give what all edges at once give; four times the edges over the same vertices take no more memory."""
+    rng = np.random.default_rng(3)
+    pairs = np.concatenate([rng.integers(-500, 500, (300, 2)), rng.integers(2**61, 2**61 + 900, (400, 2)), [[7, 7], [-9000, -9000]]])
+    want = union_find(pairs.tolist())
+    for block in (1, 50, 10_000):
+        monkeypatch.setattr(components, "_blocks", lambda b, of=components._blocks, block=block: of(b, block))
+        got = pa.Table.from_batches(components._finished(batches_of(pairs, 64)))
+        assert dict(zip(got["vertex"].to_pylist(), got["root"].to_pylist(), strict=True)) == want
+        trees = pa.Table.from_batches(components._forest(batches_of(pairs, 64)))
+        assert union_find(zip(trees["src"].to_pylist(), trees["dst"].to_pylist(), strict=True)) == want
+        monkeypatch.undo()
+    few = rng.integers(0, 1000, (50_000, 2))
+    peaks = []
+    for n in (40, 160):
+        tracemalloc.start()
+        list(components._finished(b for _ in range(n) for b in batches_of(few, 10_000)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
+
+
+def test_sequential_beyond_its_task_contracts_first(spark):
+    pairs = [(random.Random(i).randrange(900), random.Random(-i).randrange(900)) for i in range(1, 700)] + [(5000, 5000)]
+    for most in (10, 1 << 20):
+        assert labels(components.sequential_components(frame(spark, pairs), most)) == union_find(pairs)
+    assert labels(bfs.connected_components(frame(spark, THREE), "sequential")) == union_find(THREE)
