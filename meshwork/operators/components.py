@@ -59,14 +59,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tu
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
+def forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what src - dst connect: each vertex and the least that it reaches, one that is alone with itself."""
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    label = _least(at[: len(src)], at[len(src) :], len(names))
+    out = (label != np.arange(len(names))) | (np.bincount(label, minlength=len(names)) == 1)
+    return names[out], names[label[out]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst) that connect what the edges of a block do: each vertex and the least that it reaches there, one that is alone with itself."""
+    """(src, dst): the forest of each block of edges."""
     for src, dst in _blocks(batches):
-        names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        label = _least(at[: len(src)], at[len(src) :], len(names))
-        own = np.arange(len(names))
-        out = (label != own) | (np.bincount(label, minlength=len(names)) == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[label[out]])], ["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(src, dst)], ["src", "dst"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.operators import kmers
 from meshwork.operators.components import symmetrise
 from meshwork.session import qualified
 
@@ -186,22 +187,11 @@ def kmer_edges(reads: DataFrame, k: int = 31) -> DataFrame:
     Canonical is the lesser of a k-mer and its reverse complement; A, C, G, T pack as 0..3, two bits each, which fits a
     long up to k = 31. Windows with any other letter make no k-mer.
     """
-    if not 1 <= k <= 31:
-        raise ValueError("a k-mer of 2k bits must fit a long")
-    seq = reads.select(F.upper("seq").alias("s"))
-    windows = seq.where(F.length("s") > k).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - k), lambda i: F.substring(F.col("s"), i, F.lit(k + 1)))).alias("w"))
-    windows = windows.where(F.col("w").rlike("^[ACGT]+$"))
+    return kmers.edges(reads, k)
 
-    def packed(kmer: Column) -> Column:
-        canonical = F.least(kmer, F.reverse(F.translate(kmer, "ACGT", "TGCA")))
-        return F.conv(F.translate(canonical, "ACGT", "0123"), 4, 10).cast("long")
 
-    edges = windows.select(packed(F.substring("w", 1, k)).alias("src"), packed(F.substring("w", 2, k)).alias("dst"))
-    return symmetrise(edges)
-
-
-def read_fastq_debruijn(spark: SparkSession, path: str, k: int = 31) -> DataFrame:
-    """The de Bruijn graph of FASTQ reads. A record's sequence is the line between its @ line and its + line.
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(seq) of FASTQ reads. A record's sequence is the line between its @ line and its + line.
 
     Records are taken whole by splitting the file at '\\n@' line starts whose second next line starts with '+'; a file is
     one row group per split of Spark's reader, so that records never straddle tasks.
@@ -210,4 +200,9 @@ def read_fastq_debruijn(spark: SparkSession, path: str, k: int = 31) -> DataFram
     body = F.split(F.regexp_replace("value", "\r", ""), "\n")
     # a quality line that starts with @ splits a record too: its piece has no '+' line in place and is dropped
     rows = lines.select(body.alias("b")).where((F.size("b") >= 3) & F.get("b", F.lit(2)).startswith("+"))
-    return kmer_edges(rows.select(F.get("b", F.lit(1)).alias("seq")), k)
+    return rows.select(F.get("b", F.lit(1)).alias("seq"))
+
+
+def read_fastq_debruijn(spark: SparkSession, path: str, k: int = 31) -> DataFrame:
+    """The de Bruijn graph of FASTQ reads (read_fastq) as edges."""
+    return kmer_edges(read_fastq(spark, path), k)
