@@ -474,8 +474,9 @@ def _reads(s: SparkSession, d: str, table: str = "documents") -> DataFrame:
 
 def _debruijn(s: SparkSession, d: str) -> DataFrame:
     path = _there(s, "reads")
-    _reads(s, d).select(F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.regexp_replace("seq", ".", "I")).alias("value")).write.text(path)
-    return readers.read_fastq_debruijn(s, path, 31).agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_vertices"))
+    record = F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    _reads(s, d).select(record.alias("value")).write.text(path, compression="gzip")
+    return kmers.counts(readers.read_fastq(s, path), 31)
 
 
 _READ = "(SELECT translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents)"

@@ -107,3 +107,9 @@ def test_both_ways_agree_on_documents(spark, sf_dir):
     df = Q._reads(spark, sf_dir).limit(40)
     slow = edges.component_sizes(components.contract_components(kmers.edges(df, 31)))
     assert {tuple(r) for r in kmers.component_sizes(df, 31).collect()} == {tuple(r) for r in slow.collect()}
+
+
+def test_counts_make_no_row_for_each_kmer(spark, sf_dir):
+    """debruijn_counts reads its FASTQ without exploding windows or aggregating k-mers as rows."""
+    told = Q.QUERIES["debruijn_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in told and "MapInArrow" in told
